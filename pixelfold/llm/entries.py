@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_rules, sharding, token_files
+from . import licenses, packing, quality_rules, sharding, token_files
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,12 +34,16 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(read(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
 
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(read(spark, sf_dir, "documents")))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sharding, op5_quality_rules, op6_token_files, op10_packing)}
+    return {f.__name__: f for f in (op1_sharding, op5_quality_rules, op6_token_files, op7_license_scans, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
