@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, packing, quality_rules, sharding, token_files
-from .common import read
+from . import licenses, packing, quality_classifier, quality_rules, sharding, token_files, toxicity
+from .common import held_out, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,27 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def learnt_from(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of rows that are not held out."""
+    return read(spark, sf_dir, "labels").filter(~held_out())
+
+
+def judged(scores: DataFrame, threshold: float) -> DataFrame:
+    return scores.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> tuple:
+    return toxicity.train(*toxicity.sample(read(spark, sf_dir, "documents"), learnt_from(spark, sf_dir), "toxic", "doc_id", "text"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(toxicity.score(read(spark, sf_dir, "documents"), *toxicity_model(spark, sf_dir)), 0.5)
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(quality_classifier.classify(read(spark, sf_dir, "documents"), learnt_from(spark, sf_dir)), 0.3)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.verdicts(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -43,7 +64,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sharding, op5_quality_rules, op6_token_files, op7_license_scans, op10_packing)}
+    return {f.__name__: f for f in (op1_sharding, op2_toxicity, op4_quality_classifier, op5_quality_rules, op6_token_files, op7_license_scans, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
