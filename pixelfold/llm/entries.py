@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, packing, quality_classifier, quality_rules, sharding, token_files, toxicity
+from . import jaccard, licenses, packing, quality_classifier, quality_rules, sharding, token_files, toxicity
 from .common import held_out, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,12 +59,16 @@ def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(read(spark, sf_dir, "documents")))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read(spark, sf_dir, "documents"), percent=90, size=3)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sharding, op2_toxicity, op4_quality_classifier, op5_quality_rules, op6_token_files, op7_license_scans, op10_packing)}
+    return {f.__name__: f for f in (op1_sharding, op2_toxicity, op4_quality_classifier, op5_quality_rules, op6_token_files, op7_license_scans, op9_jaccard_join, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
