@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, licenses, packing, quality_classifier, quality_rules, sharding, token_files, toxicity
+from . import jaccard, licenses, packing, quality_classifier, quality_rules, sentencepiece, sharding, token_files, topk, toxicity
 from .common import held_out, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(toxicity.score(read(spark, sf_dir, "documents"), *toxicity_model(spark, sf_dir)), 0.5)
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(read(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(quality_classifier.classify(read(spark, sf_dir, "documents"), learnt_from(spark, sf_dir)), 0.3)
 
@@ -59,6 +63,10 @@ def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(read(spark, sf_dir, "documents")))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.round_trip(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read(spark, sf_dir, "documents"), percent=90, size=3)
 
@@ -68,7 +76,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sharding, op2_toxicity, op4_quality_classifier, op5_quality_rules, op6_token_files, op7_license_scans, op9_jaccard_join, op10_packing)}
+    return {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_exact_top_k, op4_quality_classifier, op5_quality_rules, op6_token_files, op7_license_scans, op8_sentencepiece, op9_jaccard_join, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
