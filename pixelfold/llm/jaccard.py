@@ -281,6 +281,14 @@ def join(docs: DataFrame, percent: int = 80, size: int = 5, key: str = "doc_id",
 
 
 def deduplicate(docs: DataFrame, percent: int = 80, size: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with all their columns, one of each component: the first by key."""
-    kept = join(docs, percent, size, key, text).filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept")).distinct()
-    return docs.join(kept, F.col(key) == F.col("_kept"), "left_semi").dropDuplicates([key])
+    """The documents with all their columns, one of each component: the first by key.
+
+    Of rows with equal keys one stays; rows with a null key stay.
+    """
+    classes = stored(join(docs, percent, size, key, text), "components")
+    dropped = stored(classes.filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("_dropped")).distinct(), "dropped")
+    gone = F.broadcast(dropped) if dropped.count() <= BROADCAST else dropped
+    out = docs.join(gone, F.col(key) == F.col("_dropped"), "left_anti")
+    if not classes.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1").isEmpty():
+        out = out.filter(F.col(key).isNotNull()).dropDuplicates([key]).union(out.filter(F.col(key).isNull()))
+    return out

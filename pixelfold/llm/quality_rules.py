@@ -35,6 +35,7 @@ FLOORS = (25.0, 40.0, 50.0, 50.0)
 #: the nearest three quarters one of all: 0.75 / P(chi-square with six degrees <= 5.385).
 CUTOFF, CONSISTENT = 28.473, 1.4866
 Z = ("z1", "z2", "z3", "z4")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
 def at(array: Column, i: Column) -> Column:
@@ -78,7 +79,10 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
         .otherwise(F.transform(F.slice("_words", F.lit(1), F.size("_words") - 4), lambda w, i: F.xxhash64(w, *[at(F.col("_words"), i + k) for k in range(1, 5)])))
         .alias("_windows"),
     )
-    return wide.select("_row", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", repeated_words(F.col("_windows")).alias("n_repeat_words"))
+    made = F.struct(*COUNTS[:-1], repeated_words(F.col("_windows")).alias(COUNTS[-1]))
+    # Through a generator no filter on the counts is pushed down, where it would split every text again
+    # for each of its words.
+    return wide.select("_row", F.inline(F.array(made)))
 
 
 #: The statistics and the base rule in terms of the counts, for Spark and other SQL engines alike.
@@ -171,9 +175,6 @@ def joined(left: DataFrame, right: DataFrame, group: list[str]) -> DataFrame:
     return left.join(right, same[0] & same[1], "left").drop(*[f"_{g}" for g in group])
 
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
-
-
 def counted(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The documents in ``_row``, their group as lang and source, counts, statistics and base_failed."""
     grouped = counts(docs, text).select("_row", F.col(f"_row.`{lang}`").cast("string").alias("lang"), F.col(f"_row.`{source}`").cast("string").alias("source"), *COUNTS)
