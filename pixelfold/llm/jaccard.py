@@ -35,8 +35,9 @@ from .graphs import components
 
 #: Sizes of a class grow by this factor.
 CLASS = 1.5
-#: Sets of a group at most, on average.
-GROUP = 64
+#: Sets of a group at most, on average; a group's sizes differ by this factor at most.
+GROUP = 256
+ALIKE = 1.02
 #: Candidate sets up to this many are broadcast by id, others joined by a shuffle.
 BROADCAST = 500_000
 #: Characters that are turned into words at a time.
@@ -202,13 +203,13 @@ def compared(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
 
 
 def group_unions(members: DataFrame, tokens: DataFrame) -> DataFrame:
-    """The matrix's columns: (gid, union) for groups of bounded size."""
+    """The matrix's columns: (gid, union, smallest size) for groups of bounded size."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         union = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in group["tokens"]]))
-        return pd.DataFrame({"gid": group["gid"].iloc[:1], "held": [union.tobytes()]})
+        return pd.DataFrame({"gid": group["gid"].iloc[:1], "held": [union.tobytes()], "least": [min(map(len, group["tokens"])) // 8]})
 
-    return members.join(tokens, "h").select("gid", "tokens").groupBy("gid").applyInPandas(run, "gid long, held binary")
+    return members.select("gid", "h").join(tokens, "h").select("gid", "tokens").groupBy("gid").applyInPandas(run, "gid long, held binary, least long")
 
 
 def qualifying(pairs: DataFrame, tokens: DataFrame, unions: DataFrame, percent: int) -> DataFrame:
@@ -217,13 +218,16 @@ def qualifying(pairs: DataFrame, tokens: DataFrame, unions: DataFrame, percent:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch["x"], batch["held"], strict=True):
+            for x, y, least in zip(batch["x"], batch["held"], batch["least"], strict=True):
                 q, held = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 at = np.minimum(np.searchsorted(held, q), len(held) - 1)
-                keep.append(100 * int((held[at] == q).sum()) >= percent * len(q))
+                both = int((held[at] == q).sum())
+                # A linked set has at least the group's smallest size, and this part of the query's.
+                other = max(int(least), -(-percent * len(q) // 100))
+                keep.append(100 * both >= percent * (len(q) + other - both))
             yield batch.loc[keep, ["q", "gid"]]
 
-    return pairs.join(tokens.select(F.col("h").alias("q"), F.col("tokens").alias("x")), "q").join(unions, "gid").select("q", "gid", "x", "held").mapInPandas(run, "q long, gid long")
+    return pairs.join(tokens.select(F.col("h").alias("q"), F.col("tokens").alias("x")), "q").join(unions, "gid").select("q", "gid", "x", "held", "least").mapInPandas(run, "q long, gid long")
 
 
 def links(docs: DataFrame, sets: DataFrame, percent: int, size: int, key: str, text: str) -> DataFrame | None:
@@ -243,18 +247,25 @@ def links(docs: DataFrame, sets: DataFrame, percent: int, size: int, key: str, t
     wanted = sets.select("k", "h").join(star.select("h"), "h", "left_semi").groupBy("h").agg(F.min("k").alias("k"))
     tokens = stored(token_table(docs, wanted, size, key, text, count <= BROADCAST).dropDuplicates(["h"]), "tokens")
     first = stored(compared(star.filter("h <> centre").select(F.col("h").alias("a"), F.col("centre").alias("b")), tokens, percent), "first-links")
-    # Groups: sets around one centre, split evenly where they are many.
-    crowd = star.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("chunks"))
+    # Groups: sets around one centre, of like size, and of one component if that is large.
     label = components(first)
-    nodes = star.join(crowd, "centre").join(label, F.col("h") == F.col("node"), "left").select(
-        "h", F.coalesce("root", "h").alias("label"), F.xxhash64("centre", F.pmod(F.xxhash64("h"), F.col("chunks"))).alias("gid")
-    )
+    size_of = tokens.select("h", F.floor(F.log(F.octet_length("tokens") / 8) / math.log(ALIKE)).alias("like"))
+    nodes = star.join(label, F.col("h") == F.col("node"), "left").select("h", "centre", F.coalesce("root", "h").alias("label")).join(size_of, "h")
+    large = nodes.groupBy("label").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= GROUP).select("label", F.col("label").alias("of"))
+    nodes = stored(nodes.join(large, "label", "left"), "labelled-sets")
+    crowd = nodes.groupBy(F.col("centre").alias("_c"), F.col("of").alias("_o"), F.col("like").alias("_l")).agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("chunks"))
+    same = F.col("centre").eqNullSafe(F.col("_c")) & F.col("of").eqNullSafe(F.col("_o")) & F.col("like").eqNullSafe(F.col("_l"))
+    chunk = F.pmod(F.xxhash64("h"), F.col("chunks"))
+    nodes = nodes.join(crowd, same).select("h", "centre", "label", F.xxhash64("centre", "of", "like", chunk).alias("gid"))
     nodes = stored(nodes, "groups")
     listed = hits.join(nodes, "h")
     mixed = listed.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("sig")
     open_lists = stored(listed.join(mixed, "sig"), "mixed")
-    columns = open_lists.groupBy("sig", "gid").agg(F.min("h").alias("least"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    asked = open_lists.select("sig", F.col("h").alias("q"), "label").join(columns, "sig").filter("least < q AND NOT (lo = label AND hi = label)").select("q", "gid").distinct()
+    # What shares a signature with a set of a centre is asked by all sets of that centre.
+    reach = open_lists.select("sig", "centre").distinct().join(open_lists.select("sig", "gid").distinct(), "sig").select("centre", "gid").distinct()
+    columns = nodes.groupBy("gid").agg(F.min("h").alias("least"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    queries = open_lists.select(F.col("h").alias("q"), "centre", "label").distinct()
+    asked = queries.join(reach.join(columns, "gid"), "centre").filter("least < q AND NOT (lo = label AND hi = label)").select("q", "gid")
     asked = stored(asked, "queries")
     if asked.isEmpty():
         return first
