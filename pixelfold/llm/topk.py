@@ -152,6 +152,7 @@ def search(table: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_i
     def over(part: Column, queries: DataFrame) -> DataFrame:
         spread = queries.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), block.alias("block"), "id", "v", "floor").filter(part)
         keys = ["dim", "shard", "block"]
+        spread = spread.select(*[F.col(c).alias(c) for c in spread.columns])  # its own columns: both sides come of one table
         return held.filter(part).groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score long")
 
     first = stored(over(F.col("shard") == 0, asked.withColumn("floor", F.lit(float("-inf")))), "first-shard")
