@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, licenses, packing, quality_classifier, quality_rules, sentencepiece, sharding, token_files, topk, toxicity
+from . import jaccard, licenses, oracle, packing, quality_classifier, quality_rules, sentencepiece, sharding, token_files, topk, toxicity
 from .common import held_out, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,4 +80,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
