@@ -15,7 +15,7 @@ SHARDS = 24
 def crc32(text: str) -> str:
     """Unsigned crc32 of a text's UTF-8 bytes; ``crc_table`` must be joined."""
     hexed = f"hex(encode({text}))"
-    bytes_ = f"list_transform(range(strlen({text})), lambda i: ('0x' || {hexed}[2*i+1:2*i+2])::BIGINT)"
+    bytes_ = f"list_transform(regexp_extract_all({hexed}, '..'), lambda h: ('0x' || h)::BIGINT)"
     fold = f"list_reduce(list_prepend(4294967295::BIGINT, {bytes_}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))"
     return f"(CASE WHEN coalesce({text}, '') = '' THEN 0 ELSE xor({fold}, 4294967295::BIGINT) END)::BIGINT"
 
