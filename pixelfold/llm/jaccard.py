@@ -3,9 +3,12 @@
 A document's set holds the 64-bit hashes of its distinct word shingles. Equal sets are one set from
 then on. The rest is exact:
 
-1. *Signatures.* Two linked sets of sizes within a class differ in at most D tokens, so of D + 1 parts
-   of the token universe one is the same in both. Each set says, by one hash a part, what it holds
-   there; some parts more make up for those that are empty. Linked sets share a signature.
+1. *Signatures.* From ``PARTS`` per cent on: two linked sets of sizes within a class differ in at most D
+   tokens, so of D + 1 parts of the token universe one is the same in both. Each set says, by one hash a
+   part, what it holds there; some parts more make up for those that are empty. Below, parts would hold
+   a token or two, so a set's signatures are its rarest tokens, as many as two linked sets cannot both
+   miss; how rare a token is comes from counts over all documents, in a table of fixed size, which only
+   settles the order. Either way linked sets share a signature.
 2. *Groups.* Sets that share signatures are dealt into groups around the set with most company, and
    each is compared with that centre: most links show at once.
 3. *Matrix.* Where a signature joins sets of several components still, each set queries the groups
@@ -33,8 +36,11 @@ from pyspark.sql import functions as F
 from .common import stored
 from .graphs import components
 
-#: Sizes of a class grow by this factor.
+#: From this threshold on signatures are of parts. Sizes of a class grow by this factor.
+PARTS = 85
 CLASS = 1.5
+#: Counters of the table of token counts, in slices that are added up apart.
+COUNTERS, SLICES = 1 << 21, 8
 #: Sets of a group at most, on average; a group's sizes differ by this factor at most.
 GROUP = 256
 ALIKE = 1.02
@@ -130,6 +136,48 @@ def signatures(tokens: np.ndarray, levels: Levels) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
+def rarest(tokens: np.ndarray, percent: int, counted: np.ndarray) -> np.ndarray:
+    """The prefix of a set in the order of its tokens' counts: linked sets' prefixes meet."""
+    keep = len(tokens) - -(-percent * len(tokens) // 100) + 1
+    order = np.lexsort((tokens, counted[tokens & np.uint64(COUNTERS - 1)]))
+    return tokens[order[:keep]].view(np.int64)
+
+
+def token_counts(docs: DataFrame, size: int, text: str) -> np.ndarray:
+    """How many documents hold a token, over all documents; tokens share counters."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+
+        total, first = np.zeros(COUNTERS, np.uint32), 0
+        for batch in batches:
+            texts = batch["t"].tolist()
+            for lo, hi in chunks(texts):
+                for tokens in token_sets(texts[lo:hi], size):
+                    if len(tokens) and not first:
+                        first = 1 + int(tokens[0] >> np.uint64(8)) % 64  # spreads the sums over some tasks
+                    np.add.at(total, (tokens & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
+        pack = zstandard.ZstdCompressor(level=1).compress
+        yield pd.DataFrame({"j": range(SLICES), "m": first, "c": [pack(x.tobytes()) for x in np.split(total, SLICES)]})
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        import zstandard
+
+        total = np.zeros(COUNTERS // SLICES, np.uint64)
+        for c in group["c"]:
+            total += np.frombuffer(zstandard.ZstdDecompressor().decompress(c), np.uint32)
+        packed = zstandard.ZstdCompressor(level=1).compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes())
+        return pd.DataFrame({"j": group["j"].iloc[:1], "m": [0], "c": [packed]})
+
+    shape = "j int, m int, c binary"
+    parts = docs.select(F.col(text).alias("t")).mapInPandas(run, shape).groupBy("j", "m").applyInPandas(add, shape).groupBy("j").applyInPandas(add, shape).collect()
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    slices = {r["j"]: np.frombuffer(unpack(r["c"]), np.uint32) for r in parts}
+    return np.concatenate([slices.get(j, np.zeros(COUNTERS // SLICES, np.uint32)) for j in range(SLICES)])
+
+
 def chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     start = size = 0
     for i, t in enumerate(texts):
@@ -151,16 +199,21 @@ def name_of(tokens: np.ndarray) -> int | None:
 def tokenized(docs: DataFrame, percent: int, size: int, key: str, text: str) -> DataFrame:
     """Rows (k, n, h, sigs): key, set size, the set's name and its signatures."""
     kind = docs.schema[key].dataType.simpleString()
+    sent = None if percent >= PARTS else docs.sparkSession.sparkContext.broadcast(token_counts(docs, size, text))
+
+    def signed(tokens: np.ndarray) -> np.ndarray:
+        if sent is not None:
+            return rarest(tokens, percent, sent.value)
+        return signatures(tokens, _levels.setdefault(percent, Levels(percent)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        levels = _levels.setdefault(percent, Levels(percent))
         for batch in batches:
             texts = batch["t"].tolist()
             for lo, hi in chunks(texts):
                 sets = token_sets(texts[lo:hi], size)
                 yield pd.DataFrame({
                     "k": batch["k"].iloc[lo:hi].to_numpy(), "n": [len(s) for s in sets], "h": pd.array([name_of(s) for s in sets], dtype="Int64"),
-                    "sigs": [signatures(s, levels) if len(s) else np.empty(0, np.int64) for s in sets],
+                    "sigs": [signed(s) if len(s) else np.empty(0, np.int64) for s in sets],
                 })
 
     return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, n long, h long, sigs array<bigint>")
