@@ -12,8 +12,9 @@ then on. The rest is exact:
 2. *Groups.* Sets that share signatures are dealt into groups around the set with most company, and
    each is compared with that centre: most links show at once.
 3. *Matrix.* Where a signature joins sets of several components still, each set queries the groups
-   there. A group's column is the union of its sets' tokens; a group is opened only if it holds
-   enough of the query's tokens, for a link needs ``threshold`` of them. Opened groups' sets are compared.
+   there, a block of queries (a group's sets) at a time. A group's column is the union of its sets'
+   tokens; a group is opened for a query only if it holds enough of its tokens for a link with a set of
+   the group's smallest size. Only sets that pass from both sides are compared.
 
 Links between sets of one component are not looked for again: they change no component.
 
@@ -41,8 +42,8 @@ PARTS = 85
 CLASS = 1.5
 #: Counters of the table of token counts, in slices that are added up apart.
 COUNTERS, SLICES = 1 << 21, 8
-#: Sets of a group at most, on average; a group's sizes differ by this factor at most.
-GROUP = 256
+#: Sets and tokens of a group at most, on average; a group's sizes differ by this factor at most.
+GROUP, TOKENS = 256, 100_000
 ALIKE = 1.02
 #: Candidate sets up to this many are broadcast by id, others joined by a shuffle.
 BROADCAST = 500_000
@@ -255,32 +256,68 @@ def compared(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
-def group_unions(members: DataFrame, tokens: DataFrame) -> DataFrame:
-    """The matrix's columns: (gid, union, smallest size) for groups of bounded size."""
+def group_columns(nodes: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The matrix's columns: for each group its sets' names, components, sizes and tokens, and their
+    union. Groups are of bounded size."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        union = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in group["tokens"]]))
-        return pd.DataFrame({"gid": group["gid"].iloc[:1], "held": [union.tobytes()], "least": [min(map(len, group["tokens"])) // 8]})
+        sets = [np.frombuffer(x, np.uint64) for x in group["tokens"]]
+        union = np.unique(np.concatenate(sets))
+        numbers = [group["h"].to_numpy(np.int64), group["label"].to_numpy(np.int64), np.array([len(x) for x in sets], np.int64)]
+        return pd.DataFrame({"gid": group["gid"].iloc[:1], "names": [np.concatenate(numbers).tobytes()], "tokens": [b"".join(group["tokens"])], "held": [union.tobytes()]})
 
-    return members.select("gid", "h").join(tokens, "h").select("gid", "tokens").groupBy("gid").applyInPandas(run, "gid long, held binary, least long")
+    return nodes.select("gid", "h", "label").join(tokens, "h").groupBy("gid").applyInPandas(run, "gid long, names binary, tokens binary, held binary")
 
 
-def qualifying(pairs: DataFrame, tokens: DataFrame, unions: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (q, gid) whose group holds enough of the query's tokens for a link."""
+class Column:
+    """A group as read back."""
+
+    def __init__(self, names: bytes, tokens: bytes, held: bytes):
+        self.h, self.label, n = np.frombuffer(names, np.int64).reshape(3, -1)
+        self.sets = np.split(np.frombuffer(tokens, np.uint64), np.cumsum(n)[:-1])
+        self.held, self.n = np.frombuffer(held, np.uint64), n
+
+    def overlap(self, other: "Column") -> np.ndarray:
+        """How many tokens of each of its sets the other group holds."""
+        flat = np.concatenate(self.sets)
+        at = np.minimum(np.searchsorted(other.held, flat), len(other.held) - 1)
+        return np.add.reduceat(other.held[at] == flat, np.cumsum(self.n) - self.n, dtype=np.int64)
+
+
+def found_between(one: Column, other: Column, percent: int) -> list[tuple[int, int]]:
+    """Links between sets of two groups that lie in different components: each set queries the other
+    group, and the sets of both sides whose bounds allow a link are compared."""
+    least = [np.maximum(c.n.min(), -(-percent * q.n // 100)) for q, c in ((one, other), (other, one))]
+    both = one.overlap(other), other.overlap(one)
+    asking = [np.flatnonzero(100 * o >= percent * (q.n + m - o)) for o, q, m in ((both[0], one, least[0]), (both[1], other, least[1]))]
+    out = []
+    for i in asking[0]:
+        for j in asking[1]:
+            small, large = sorted((one.n[i], other.n[j]))
+            # The tokens that one side finds in the other group bound what both have.
+            most = min(both[0][i], both[1][j], small)
+            if one.label[i] == other.label[j] or 100 * most < percent * (small + large - most):
+                continue
+            same = small + large - len(np.union1d(one.sets[i], other.sets[j]))
+            if 100 * same >= percent * (small + large - same):
+                out.append((int(one.h[i]), int(other.h[j])))
+    return out
+
+
+def opened(pairs: DataFrame, columns: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the sets of pairs of groups (g, other)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keep = []
-            for x, y, least in zip(batch["x"], batch["held"], batch["least"], strict=True):
-                q, held = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                at = np.minimum(np.searchsorted(held, q), len(held) - 1)
-                both = int((held[at] == q).sum())
-                # A linked set has at least the group's smallest size, and this part of the query's.
-                other = max(int(least), -(-percent * len(q) // 100))
-                keep.append(100 * both >= percent * (len(q) + other - both))
-            yield batch.loc[keep, ["q", "gid"]]
+            rows = []
+            for r in batch.itertuples(index=False):
+                one = Column(r.names, r.tokens, r.held)
+                rows += found_between(one, Column(r.names2, r.tokens2, r.held2), percent)
+            yield pd.DataFrame(rows, columns=["a", "b"], dtype="int64")
 
-    return pairs.join(tokens.select(F.col("h").alias("q"), F.col("tokens").alias("x")), "q").join(unions, "gid").select("q", "gid", "x", "held", "least").mapInPandas(run, "q long, gid long")
+    second = columns.select(F.col("gid").alias("other"), *[F.col(c).alias(f"{c}2") for c in ("names", "tokens", "held")])
+    both = pairs.join(columns.withColumnRenamed("gid", "g"), "g").join(second, "other")
+    return both.select("names", "tokens", "held", "names2", "tokens2", "held2").mapInPandas(run, "a long, b long")
 
 
 def links(docs: DataFrame, sets: DataFrame, percent: int, size: int, key: str, text: str) -> DataFrame | None:
@@ -302,32 +339,34 @@ def links(docs: DataFrame, sets: DataFrame, percent: int, size: int, key: str, t
     first = stored(compared(star.filter("h <> centre").select(F.col("h").alias("a"), F.col("centre").alias("b")), tokens, percent), "first-links")
     # Groups: sets around one centre, of like size, and of one component if that is large.
     label = components(first)
-    size_of = tokens.select("h", F.floor(F.log(F.octet_length("tokens") / 8) / math.log(ALIKE)).alias("like"))
+    size_of = tokens.select("h", (F.octet_length("tokens") / 8).alias("n"), F.floor(F.log(F.octet_length("tokens") / 8) / math.log(ALIKE)).alias("like"))
     nodes = star.join(label, F.col("h") == F.col("node"), "left").select("h", "centre", F.coalesce("root", "h").alias("label")).join(size_of, "h")
     large = nodes.groupBy("label").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= GROUP).select("label", F.col("label").alias("of"))
     nodes = stored(nodes.join(large, "label", "left"), "labelled-sets")
-    crowd = nodes.groupBy(F.col("centre").alias("_c"), F.col("of").alias("_o"), F.col("like").alias("_l")).agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("chunks"))
+    crowd = nodes.groupBy(F.col("centre").alias("_c"), F.col("of").alias("_o"), F.col("like").alias("_l")).agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / GROUP), F.ceil(F.sum("n") / TOKENS)).alias("chunks")
+    )
     same = F.col("centre").eqNullSafe(F.col("_c")) & F.col("of").eqNullSafe(F.col("_o")) & F.col("like").eqNullSafe(F.col("_l"))
     chunk = F.pmod(F.xxhash64("h"), F.col("chunks"))
-    nodes = nodes.join(crowd, same).select("h", "centre", "label", F.xxhash64("centre", "of", "like", chunk).alias("gid"))
+    nodes = nodes.join(crowd, same).select("h", "centre", "label", "n", F.xxhash64("centre", "of", "like", chunk).alias("gid"))
     nodes = stored(nodes, "groups")
     listed = hits.join(nodes, "h")
     mixed = listed.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("sig")
-    open_lists = stored(listed.join(mixed, "sig"), "mixed")
-    # What shares a signature with a set of a centre is asked by all sets of that centre.
-    reach = open_lists.select("sig", "centre").distinct().join(open_lists.select("sig", "gid").distinct(), "sig").select("centre", "gid").distinct()
-    columns = nodes.groupBy("gid").agg(F.min("h").alias("least"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    queries = open_lists.select(F.col("h").alias("q"), "centre", "label").distinct()
-    asked = queries.join(reach.join(columns, "gid"), "centre").filter("least < q AND NOT (lo = label AND hi = label)").select("q", "gid")
-    asked = stored(asked, "queries")
+    open_lists = stored(listed.join(mixed, "sig").select("sig", "centre", "gid").distinct(), "mixed")
+    # What shares a signature with a set of a centre is asked by all groups of that centre.
+    reach = open_lists.select("sig", "centre").distinct().join(open_lists.select("sig", F.col("gid").alias("other")).distinct(), "sig").select("centre", "other").distinct()
+    shape = nodes.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
+    second = shape.select(F.col("gid").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("least").alias("least2"), F.col("most").alias("most2"))
+    asking = open_lists.select("centre", F.col("gid").alias("g")).distinct().join(shape.withColumnRenamed("gid", "g"), "g")
+    asked = asking.join(reach, "centre").join(second, "other").filter("NOT (lo = hi AND lo2 = hi2 AND lo = lo2)").filter(
+        (F.col("most") * 100 >= percent * F.col("least2")) & (F.col("most2") * 100 >= percent * F.col("least"))
+    )
+    asked = stored(asked.select(F.greatest("g", "other").alias("g"), F.least("g", "other").alias("other")).distinct(), "queries")
     if asked.isEmpty():
         return first
-    members = nodes.join(asked.select("gid").distinct(), "gid", "left_semi")
-    unions = stored(group_unions(members, tokens), "unions")
-    opened = qualifying(asked, tokens, unions, percent)
-    owners = nodes.select(F.col("h").alias("q"), F.col("label").alias("own"))
-    pairs = opened.join(owners, "q").join(members, "gid").filter("h < q AND own <> label").select(F.col("q").alias("a"), F.col("h").alias("b"))
-    return first.union(stored(compared(pairs, tokens, percent), "later-links"))
+    wanted = asked.select("g").union(asked.select("other")).distinct()
+    columns = stored(group_columns(nodes.join(wanted, F.col("gid") == F.col("g"), "left_semi"), tokens), "columns")
+    return first.union(stored(opened(asked, columns, percent), "later-links"))
 
 
 def join(docs: DataFrame, percent: int = 80, size: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
