@@ -43,6 +43,8 @@ COLUMNS = {
     "hextree_index": f"image_id:long {_RGBA} pid:int",
     "hextree_quantize": "image_id:long y:int x:int pid:int",
     "hextree_dither": "image_id:long y:int x:int pid:int",
+    "hextree_dither_jjn": "image_id:long y:int x:int pid:int",
+    "hextree_dither_sierra": "image_id:long y:int x:int pid:int",
     "utc_cluster_stats": "image_id:long cid:int weight:long mr:int mg:int mb:int ma:int chn:int max_err:int",
     "utc_split_choice": "image_id:long cid:int",
     "utc_first_split": f"image_id:long {_RGBA} n:long cid:int",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import color
 from ..operators import clusters, dither, hextree, layout, rle
 from ..sources import rasters
+from ..sources.shipping import ship
 from .columns import pairs
 
 #: Colours of the tree's palette in the queries, and epochs of the container's history.
@@ -114,6 +115,8 @@ PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hextree_index": lambda s, d: hextree.colour_index(_tree(s, d)[0], _tree(s, d)[2]),
     "hextree_quantize": lambda s, d: _quantized(s, d, "hextree", None),
     "hextree_dither": lambda s, d: _quantized(s, d, "hextree", "atkinson"),
+    "hextree_dither_jjn": lambda s, d: _quantized(s, d, "hextree", "jjn"),
+    "hextree_dither_sierra": lambda s, d: _quantized(s, d, "hextree", "sierra"),
     "utc_cluster_stats": lambda s, d: clusters.cluster_stats(_one_cluster(s, d)),
     "utc_split_choice": lambda s, d: clusters.split_choice(clusters.cluster_stats(clusters.split_once(_one_cluster(s, d), 8)), 8),
     "utc_first_split": lambda s, d: clusters.split_once(_one_cluster(s, d), 8),
@@ -128,6 +131,10 @@ PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def typed(name: str, plan: Callable) -> Callable:
-        return lambda s, d: plan(s, d).select(*[F.col(c).cast(t).alias(c) for c, t in pairs(name)])
+        def query(spark: SparkSession, folder: str) -> DataFrame:
+            ship(spark)
+            return plan(spark, folder).select(*[F.col(c).cast(t).alias(c) for c, t in pairs(name)])
+
+        return query
 
     return {name: typed(name, plan) for name, plan in PLANS.items()}
