@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shipping import ship
+
+__all__ = ["held_out", "new_path", "read", "release", "shared_dir", "ship", "stored"]
+
 _made: dict[str, list[str]] = {}
 
 
@@ -54,23 +56,6 @@ def release(spark: SparkSession) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once per application, so that workers can import it."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    top = Path(__file__).resolve().parents[1]
-    packed = Path(tempfile.mkdtemp(prefix="pixelfold-")) / "pixelfold.zip"
-    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as out:
-        for source in sorted(top.rglob("*.py")):
-            out.write(source, f"{top.name}/{source.relative_to(top)}")
-    spark.sparkContext.addPyFile(str(packed))
-    _shipped.add(app)
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
