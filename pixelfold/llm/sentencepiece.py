@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 BLANK, END = "▁", 0x110000
 #: Characters of text that are handled at a time, and chunks that a worker remembers.
 STEP = 2_000_000
-CACHE = 400_000
+CACHE = 800_000
 _RUNS = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 
 
@@ -93,9 +93,8 @@ class Model:
         if len(fresh):
             right, left = fresh % (self.size + 2), fresh // (self.size + 2) - 2
             holds = [self._holds(a, b) for a, b in zip(left.tolist(), right.tolist(), strict=True)]
-            all_keys = np.concatenate([self.known_keys, fresh])
-            order = np.argsort(all_keys)
-            self.known_keys, self.known = all_keys[order], np.concatenate([self.known, holds])[order]
+            place = np.searchsorted(self.known_keys, fresh)
+            self.known_keys, self.known = np.insert(self.known_keys, place, fresh), np.insert(self.known, place, holds)
         return self.known[np.searchsorted(self.known_keys, keys)]
 
     def _holds(self, left: int, right: int) -> bool:
