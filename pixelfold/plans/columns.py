@@ -13,11 +13,13 @@ COLUMNS = {
     "rgba_pixels": f"image_id:long y:int x:int {_RGBA}",
     "rgba_normalize": f"image_id:long y:int x:int {_RGBA}",
     "rle_validate_dims": "image_id:long width:int height:int valid:boolean",
+    "rle_validate_whole_dims": "image_id:long width:int height:int valid:boolean",
     "rle_runs": "image_id:long y:int run_idx:int x_start:int len:int v:int",
     "rle_run_codes": "image_id:long y:int run_idx:int code:string",
     "rle_encode": "image_id:long width:int height:int data_hex:string",
     "rle_encode_events": "image_id:long width:int height:int data_hex:string",
     "rle_encode_text": "image_id:long width:int height:int data_md5:string",
+    "rle_encode_whole_text": "image_id:long width:int height:int data_md5:string",
     "rle_size_ratio": "image_id:long n_pixels:long n_bytes:long",
     "rle_row_budget": "image_id:long y:int n_bytes:long width:int fits:boolean",
     "rle_tokenize": "image_id:long y:int run_idx:int x_start:int len:int v:int",

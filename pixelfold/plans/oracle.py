@@ -22,6 +22,10 @@ F4 = """f4 AS (
   SELECT image_id, i // 64 AS y, i % 64 AS x, ord(c) & 255 AS v
   FROM (SELECT doc_id AS image_id, length(text) // 64 AS rows, unnest(range(length(text))) AS i, unnest(string_split(text, '')) AS c FROM documents WHERE length(text) >= 512)
   WHERE i // 64 < rows)"""
+F4W = """f4w AS (
+  SELECT image_id, i // 64 AS y, i % 64 AS x, ord(c) & 255 AS v
+  FROM (SELECT image_id, unnest(range(size)) AS i, unnest(string_split(text || repeat(chr(256), size - length(text)), '')) AS c
+    FROM (SELECT doc_id AS image_id, coalesce(text, '') AS text, greatest(512, (length(coalesce(text, '')) + 63) // 64 * 64) AS size FROM documents)))"""
 F5 = """h5 AS (
   SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS image_id, trunc(l_quantity * 5)::INTEGER AS r, round_even(l_discount * 2500, 0)::INTEGER AS g,
     round_even(l_tax * 3000, 0)::INTEGER AS b, CASE l_linestatus WHEN 'F' THEN 255 ELSE 128 END AS a, count(*) AS n
@@ -83,6 +87,10 @@ def runs(source: str, tag: str = "") -> str:
 BOTH = f"""{F1}, {F2}, both_ AS (SELECT image_id, y, x, v FROM f1 UNION ALL SELECT image_id + 1000000, y, x, v FROM f2)"""
 
 
+#: Runs of 64 or more, which only padding makes: CODE's shift must come before its or (golden vector G4).
+WHOLE = f"{F4W}, " + runs("f4w").replace("64 | len >> 8", "64 | (len >> 8)").replace("192 | len >> 8", "192 | (len >> 8)")
+
+
 def tree(hist: str, colours: int) -> str:
     shift = ", ".join(f"({c} >> (7 - level)) AS p{c}" for c in "rgba")
     child = " || ',' || ".join(f"({c} >> greatest(6 - level, 0))" for c in "rgba")
@@ -141,11 +149,13 @@ SOURCES = {
     "rgba_pixels": (F3, "SELECT * FROM f3"),
     "rgba_normalize": (F3, "SELECT * FROM f3n"),
     "rle_validate_dims": (F4, "SELECT image_id, max(x) + 1 AS width, max(y) + 1 AS height, max(x) + 1 BETWEEN 8 AND 4096 AND max(y) + 1 BETWEEN 8 AND 4096 AS valid FROM f4 GROUP BY 1"),
+    "rle_validate_whole_dims": ("t4 AS (SELECT doc_id, (length(coalesce(text, '')) + 63) // 64 AS height FROM documents)", "SELECT doc_id AS image_id, 64 AS width, height, height BETWEEN 8 AND 4096 AS valid FROM t4"),
     "rle_runs": (f"{F2}, {runs('f2')}", "SELECT * FROM runs"),
     "rle_run_codes": (f"{F2}, {runs('f2')}", "SELECT * FROM codes"),
     "rle_encode": (f"{F2}, {runs('f2')}", "SELECT * FROM enc"),
     "rle_encode_events": (f"{F1}, {runs('f1')}", "SELECT * FROM enc"),
     "rle_encode_text": (f"{F4}, {runs('f4')}", "SELECT *, md5(data_hex) AS data_md5 FROM enc"),
+    "rle_encode_whole_text": (WHOLE, "SELECT *, md5(data_hex) AS data_md5 FROM enc"),
     "rle_size_ratio": (f"{F2}, {runs('f2')}", "SELECT image_id, width * height AS n_pixels, length(data_hex) // 2 AS n_bytes FROM enc"),
     "rle_row_budget": (f"{F2}, {runs('f2')}", "SELECT image_id, y, length(line) // 2 AS n_bytes, width, length(line) // 2 <= width AS fits FROM lines"),
     "rle_tokenize": (f"{BOTH}, {runs('both_')}", "SELECT * FROM runs"),

@@ -85,11 +85,13 @@ PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rgba_pixels": lambda s, d: rasters.rgba_pixels(rasters.rgba_dense(rasters.embedding_rgba(s, d))),
     "rgba_normalize": lambda s, d: rasters.embedding_rgba(s, d).select("image_id", "y", "x", *[color.normalized(c) for c in color.CHANNELS]),
     "rle_validate_dims": lambda s, d: rasters.text_bitmap(s, d).groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height")).withColumn("valid", rle.valid_dims(F.col("width"), F.col("height"))),
+    "rle_validate_whole_dims": lambda s, d: rasters.whole_text_dims(s, d).withColumn("valid", rle.valid_dims(F.col("width"), F.col("height"))),
     "rle_runs": lambda s, d: rle.runs(rasters.embedding_bitmap(s, d)),
     "rle_run_codes": lambda s, d: rle.run_codes(rle.runs(rasters.embedding_bitmap(s, d))),
     "rle_encode": lambda s, d: _hex(rle.encode(rasters.embedding_bitmap(s, d))),
     "rle_encode_events": lambda s, d: _hex(rle.encode(rasters.event_grid(s, d))),
     "rle_encode_text": lambda s, d: rle.encode(rasters.text_bitmap(s, d)).withColumn("data_md5", F.md5(F.hex("data").cast("binary"))),
+    "rle_encode_whole_text": lambda s, d: rle.encode(rasters.whole_text_bitmap(s, d)).withColumn("data_md5", F.md5(F.hex("data").cast("binary"))),
     "rle_size_ratio": lambda s, d: rle.size_ratio(rasters.embedding_bitmap(s, d)),
     "rle_row_budget": lambda s, d: rle.row_budget(rasters.embedding_bitmap(s, d)),
     "rle_tokenize": lambda s, d: rle.tokenize(_streams(s, d)),

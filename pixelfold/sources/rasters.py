@@ -85,6 +85,27 @@ def text_bitmap(spark: SparkSession, folder: str, width: int = 64) -> DataFrame:
     return cells.filter(y < F.col("rows")).select("image_id", y.alias("y"), (F.col("i") % width).alias("x"), F.ascii("c").bitwiseAND(255).alias("v"))
 
 
+def whole_texts(spark: SparkSession, folder: str, width: int = 64) -> DataFrame:
+    """(image_id, text, n, rows) of every document; a null text is an empty one, a part of a row counts."""
+    d = table(spark, folder, "documents").select(F.col("doc_id").alias("image_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return d.withColumn("n", F.char_length("text")).withColumn("rows", F.expr(f"(n + {width - 1}) div {width}").cast("int"))
+
+
+def whole_text_bitmap(spark: SparkSession, folder: str, width: int = 64, least: int = 8) -> DataFrame:
+    """As :func:`text_bitmap`, but of every document to its last character: the last row, and texts
+    under ``least`` rows, are filled up with 0."""
+    d = whole_texts(spark, folder, width)
+    # U+0100 is 0 modulo 256.
+    full = F.concat("text", F.repeat(F.lit("\u0100"), F.greatest(F.col("rows"), F.lit(least)) * width - F.col("n")))
+    cells = d.select("image_id", F.posexplode(F.split(full, "")).alias("i", "c"))
+    return cells.select("image_id", F.expr(f"i div {width}").cast("int").alias("y"), (F.col("i") % width).alias("x"), F.ascii("c").bitwiseAND(255).alias("v"))
+
+
+def whole_text_dims(spark: SparkSession, folder: str, width: int = 64) -> DataFrame:
+    """(image_id, width, height) of every document's text, with no rows added to short ones."""
+    return whole_texts(spark, folder, width).select("image_id", F.lit(width).alias("width"), F.col("rows").alias("height"))
+
+
 def lineitem_histogram(spark: SparkSession, folder: str) -> DataFrame:
     """A colour histogram for each return flag."""
     x = table(spark, folder, "lineitem")

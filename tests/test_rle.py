@@ -6,6 +6,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pixelfold.operators import rle
+from pixelfold.plans import queries
+from pixelfold.sources import rasters
 
 ROWS = {
     "0008": [0] * 8, "008801": [1] * 8, "003F": [0] * 63, "00BF05": [5] * 63, "004040": [0] * 64, "00C04005": [5] * 64,
@@ -91,3 +93,17 @@ def test_dims(spark):
     df = spark.createDataFrame([(7, 8), (8, 8), (4096, 4096), (4097, 8), (16383, 1)], "w int, h int")
     made = df.select(rle.valid_dims(F.col("w"), F.col("h")).alias("s"), rle.valid_dims(F.col("w"), F.col("h"), strict=False).alias("l")).collect()
     assert [(r["s"], r["l"]) for r in made] == [(False, True), (True, True), (True, True), (False, True), (False, True)]
+
+
+def test_whole_texts_lose_nothing(spark, tmp_path):
+    made = {0: "", 1: "ab", 2: "x" * 511, 3: "y" * 512, 4: "é日" * 300 + "end", 5: None}
+    spark.createDataFrame(list(made.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    dims = {r["image_id"]: (r["width"], r["height"], r["valid"]) for r in queries.queries()["rle_validate_whole_dims"](spark, str(tmp_path)).collect()}
+    assert dims == {0: (64, 0, False), 1: (64, 1, False), 2: (64, 8, True), 3: (64, 8, True), 4: (64, 10, True), 5: (64, 0, False)}
+    source = rasters.whole_text_bitmap(spark, str(tmp_path))
+    seen = {}
+    for r in rle.decode(rle.encode(source)).collect():
+        seen.setdefault(r["image_id"], {})[r["y"] * 64 + r["x"]] = r["v"]
+    want = {i: [ord(c) & 255 for c in t or ""] for i, t in made.items()}
+    assert {i: [v for _, v in sorted(cells.items())] for i, cells in seen.items()} == {i: v + [0] * (max(512, -(-len(v) // 64) * 64) - len(v)) for i, v in want.items()}
+    assert queries.queries()["rle_encode_whole_text"](spark, str(tmp_path)).count() == len(made)
