@@ -233,10 +233,20 @@ def token_table(docs: DataFrame, wanted: DataFrame, size: int, key: str, text: s
                 rows = [(h, s.tobytes()) for h, s in zip(names.tolist(), sets, strict=True) if name_of(s) == h]
                 yield pd.DataFrame(rows, columns=["h", "tokens"])
 
-    some = F.broadcast(wanted) if few else wanted
+    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = batch["t"].tolist()
+            for lo, hi in chunks(texts):
+                yield pd.DataFrame([(name_of(s), s.tobytes()) for s in token_sets(texts[lo:hi], size) if len(s)], columns=["h", "tokens"])
+
+    def side(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if few else df
+
     body = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    same = body["k"].eqNullSafe(some["k"]) if few else body["k"] == some["k"]
-    return body.join(some, same).select("h", "t").mapInPandas(run, "h long, tokens binary")
+    keyed = body.join(side(wanted), "k").select("h", "t").mapInPandas(run, "h long, tokens binary")
+    # Rows without a key are found by their sets' names, not paired with one another.
+    unkeyed = body.filter("k IS NULL").select("t").mapInPandas(named, "h long, tokens binary")
+    return keyed.union(unkeyed.join(side(wanted.filter("k IS NULL").select("h")), "h", "left_semi"))
 
 
 def compared(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:

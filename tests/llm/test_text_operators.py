@@ -122,6 +122,20 @@ def test_jaccard_at_the_border(spark):
     assert kept == {c for _, _, c in brute_components(made, 80, 5)}
 
 
+@pytest.mark.parametrize("broadcast", [0, 500_000])
+def test_jaccard_links_through_null_keys(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(jaccard, "BROADCAST", broadcast)
+    words = [f"w{i}" for i in range(300)]
+    # Ends of the chain differ in too much to be linked but through the text whose only rows have no key.
+    for percent, k, n in ((90, 3, 10), (80, 5, 20)):
+        chain = [" ".join(w) for w in ([f"x{i}" for i in range(n)] + words[n:], words, words[:-n] + [f"y{i}" for i in range(n)])]
+        made = [(7, chain[0]), (None, chain[1]), (None, chain[1]), (3, chain[2]), (None, "no link to others"), (9, "of its own")]
+        want = brute_components(made, percent, k)
+        assert want[(7, 301 - k, 3)] == 1 and brute_components([made[0], made[3]], percent, k)[(7, 301 - k, 7)] == 1
+        got = jaccard.join(spark.createDataFrame(made, "doc_id long, text string"), percent, k).collect()
+        assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60) if i % 10 != 9] + [(100, 5), (3, 3)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
