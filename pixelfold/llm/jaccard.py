@@ -379,29 +379,56 @@ def links(docs: DataFrame, sets: DataFrame, percent: int, size: int, key: str, t
     return first.union(stored(opened(asked, columns, percent), "later-links"))
 
 
-def join(docs: DataFrame, percent: int = 80, size: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each document: the key, n_shingles and component_id."""
+def classes(docs: DataFrame, percent: int, size: int, key: str, text: str) -> DataFrame:
+    """A row (k, n, h, c) for each document: key, set size, the set's name and its component."""
     sets = stored(tokenized(docs, percent, size, key, text), "sets")
     found = links(docs, sets, percent, size, key, text)
     rows = sets.select("k", "n", "h")
     if found is not None:
-        rows = rows.join(components(found), F.col("h") == F.col("node"), "left").select("k", "n", F.coalesce("root", "h").alias("c"))
+        rows = rows.join(components(found), F.col("h") == F.col("node"), "left").select("k", "n", "h", F.coalesce("root", "h").alias("c"))
     else:
-        rows = rows.select("k", "n", F.col("h").alias("c"))
-    rows = stored(rows, "classes")
+        rows = rows.select("k", "n", "h", F.col("h").alias("c"))
+    return stored(rows, "classes")
+
+
+def join(docs: DataFrame, percent: int = 80, size: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row for each document: the key, n_shingles and component_id."""
+    rows = classes(docs, percent, size, key, text)
     least = rows.filter("c IS NOT NULL").groupBy("c").agg(F.min("k").alias("first"))
     return rows.join(least, "c", "left").select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.coalesce("first", "k").alias("component_id"))
 
 
+def set_names(size: int):
+    """A text column's set names, as a function of columns."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        listed = texts.tolist()
+        return pd.Series([name_of(s) for lo, hi in chunks(listed) for s in token_sets(listed[lo:hi], size)], dtype="Int64")
+
+    return F.pandas_udf(run, "long")
+
+
 def deduplicate(docs: DataFrame, percent: int = 80, size: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with all their columns, one of each component: the first by key.
+    """The documents with all their columns, one of each component: the first by key, then by its set's name.
 
-    Of rows with equal keys one stays; rows with a null key stay.
+    Of rows with equal keys and equal sets one stays; rows with equal keys whose sets are not linked
+    stay each for its own component; rows with a null key stay.
     """
-    classes = stored(join(docs, percent, size, key, text), "components")
-    dropped = stored(classes.filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("_dropped")).distinct(), "dropped")
-    gone = F.broadcast(dropped) if dropped.count() <= BROADCAST else dropped
-    out = docs.join(gone, F.col(key) == F.col("_dropped"), "left_anti")
-    if not classes.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1").isEmpty():
-        out = out.filter(F.col(key).isNotNull()).dropDuplicates([key]).union(out.filter(F.col(key).isNull()))
-    return out
+    rows = classes(docs, percent, size, key, text).filter("k IS NOT NULL")
+    first = rows.filter("c IS NOT NULL").groupBy("c").agg(F.min(F.struct("k", "h")).alias("first"))
+    others = rows.join(first, "c").filter((F.col("k") != F.col("first.k")) | (F.col("h") != F.col("first.h")))
+    dropped = stored(others.select(F.col("k").alias("_dropped"), F.col("h").alias("_name")).distinct(), "dropped")
+    again = stored(rows.groupBy(F.col("k").alias("_again")).count().filter("count > 1").select("_again"), "repeated-keys")
+
+    def side(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= BROADCAST else df
+
+    gone = side(dropped)
+    if again.isEmpty():
+        return docs.join(gone, F.col(key) == F.col("_dropped"), "left_anti")
+    twice = side(again)
+    once = docs.join(twice, F.col(key) == F.col("_again"), "left_anti").join(gone, F.col(key) == F.col("_dropped"), "left_anti")
+    # Only rows with repeated keys are told apart by their sets.
+    several = docs.join(twice, F.col(key) == F.col("_again"), "left_semi").withColumn("_set", set_names(size)(F.col(text)))
+    several = several.join(gone, (F.col(key) == F.col("_dropped")) & (F.col("_set") == F.col("_name")), "left_anti")
+    return once.union(several.dropDuplicates([key, "_set"]).drop("_set"))

@@ -136,6 +136,16 @@ def test_jaccard_links_through_null_keys(spark, monkeypatch, broadcast):
         assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
 
 
+def test_deduplicate_tells_texts_of_one_key_apart(spark):
+    words = [f"w{i}" for i in range(100)]
+    base, near, far = " ".join(words), " ".join([*words[:-1], "changed"]), " ".join(f"v{i}" for i in range(50))
+    other = far.replace("v", "u")
+    made = [(3, base), (5, far), (5, near), (6, other), (6, base + " more"), (6, other), (7, far), (8, ""), (8, None), (8, other + " more"), (9, None), (None, base)]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["text"] or "") for r in jaccard.deduplicate(df).collect())
+    assert got == Counter([(3, base), (5, far), (6, other), (8, ""), (9, ""), (None, base)])
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60) if i % 10 != 9] + [(100, 5), (3, 3)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
