@@ -2,14 +2,15 @@
 
 Words are runs of letters, digits and non-ASCII characters, A-Z in lower case. One automaton finds
 all phrases, each between word boundaries, in one pass over the whole text. Behind an identifier tag
-the rest of the line is an expression of identifiers with and, or, with and parentheses.
+stands an expression of identifiers with and, or, with and parentheses: it goes as far in the line as
+the next word can continue it, no further than a sentence, and further tags are looked for from there.
 
 Labels are those of all phrases and identifiers found. The score is how much the licences ask for:
 0 without any, else a quarter to one by the level of the strictest notice; within an expression
 ``or`` takes its laxest side, ``and`` its strictest, and ``with`` lowers a copyleft by a level.
 
-Defined results: a null or empty text has no words and no labels; an expression that does not parse
-gives the label ``unparsed``; repeated rows are scanned each; an empty table gives no rows; the
+Defined results: a null or empty text has no words and no labels; an expression that is missing
+or left open (an operator without a right side, an open parenthesis) gives the label ``unparsed``; repeated rows are scanned each; an empty table gives no rows; the
 columns of the input pass through in a struct of their own, so no names clash.
 """
 
@@ -78,8 +79,12 @@ TAG = "spdx license identifier"
 BINDS = {"or": 1, "and": 2, "with": 3}
 #: Bytes of UTF-8 as they stand in words: capitals small, other ASCII signs blank.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_TAGGED = re.compile("spdx-license-identifier[ \t]*:[ \t]*([^\r\n]*)", re.IGNORECASE | re.ASCII)
-_TOKEN = re.compile(r"[()]|[A-Za-z0-9.+\-]+")
+_TAGGED = re.compile("spdx-license-identifier[ \t]*:[ \t]*", re.IGNORECASE | re.ASCII)
+_LINE = re.compile("[^\r\n]*")
+#: Signs behind which no expression goes on.
+_STOP = re.compile("[.,;:!?]")
+#: An identifier starts with a letter or digit and does not end with a full stop or hyphen.
+_TOKEN = re.compile(r"[()]|[A-Za-z0-9](?:[A-Za-z0-9.+\-]*[A-Za-z0-9+])?")
 
 
 def identified(identifier: str) -> str:
@@ -143,6 +148,25 @@ def evaluate(expression: str) -> tuple[frozenset[str], int]:
     return stack[0]
 
 
+def tagged_expressions(text: str) -> list[str]:
+    """The expression behind each tag, up to the first token that cannot continue it."""
+    out, at = [], 0
+    while tag := _TAGGED.search(text, at):
+        start = at = tag.end()
+        operand, deep = True, 0
+        for token in _TOKEN.finditer(text, start, _LINE.match(text, start).end()):
+            low = token[0].lower()
+            if at > start and _STOP.search(text, at, token.start()):
+                break
+            if low == "spdx-license-identifier" or (low == ")" and not deep) or operand != (low == "(" or low not in (")", *BINDS)):
+                break
+            deep += (low == "(") - (low == ")")
+            operand = low == "(" or low in BINDS
+            at = token.end()
+        out.append(text[start:at])
+    return out
+
+
 _built = None
 
 
@@ -170,7 +194,7 @@ def scan_text(text: str | None) -> tuple[int, list[tuple[int, int, str, bool]],
             spans.append((blanks - 1 - n, n, label, base))
         else:
             tagged = True
-    return len(words), sorted(spans), _TAGGED.findall(text) if tagged else []
+    return len(words), sorted(spans), tagged_expressions(text) if tagged else []
 
 
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

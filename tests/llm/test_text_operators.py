@@ -71,6 +71,24 @@ def test_expressions(expression, labels, level):
     assert licenses.evaluate(expression) == (frozenset(labels), level)
 
 
+@pytest.mark.parametrize(
+    ("text", "labels", "levels"),
+    [
+        ("<!-- SPDX-License-Identifier: MIT -->", [{"mit"}], [1]),
+        ("/* SPDX-License-Identifier: (MIT OR GPL-2.0+) */", [{"mit", "gpl"}], [1]),
+        ("SPDX-License-Identifier: MIT (see LICENSE)", [{"mit"}], [1]),
+        ("it has the tag SPDX-License-Identifier: GPL-2.0-only WITH x, which says much. More", [{"gpl"}], [2]),
+        ("the tag SPDX-License-Identifier: MIT. And more", [{"mit"}], [1]),
+        ("SPDX-License-Identifier: MIT SPDX-License-Identifier:Apache-2.0 # both", [{"mit"}, {"apache"}], [1, 1]),
+        ("SPDX-License-Identifier: MIT OR\nSPDX-License-Identifier: ) MIT\nSPDX-License-Identifier: (MIT SPDX-License-Identifier: ISC", [{"unparsed"}, {"unparsed"}, {"unparsed"}, {"isc"}], [3, 3, 3, 1]),
+        ('SPDX-License-Identifier: "MIT" OR "ISC"', [{"mit", "isc"}], [1]),
+        ("SPDX-License-Identifier:\r\nMIT", [{"unparsed"}], [3]),
+    ],
+)
+def test_expressions_end_where_nothing_continues_them(text, labels, levels):
+    assert [licenses.evaluate(x) for x in licenses.scan_text(text)[2]] == [(frozenset(a), b) for a, b in zip(labels, levels, strict=True)]
+
+
 def shingles(t, k):
     w = re.findall(r"[^\x20\x09-\x0D]+", folded(t))
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) or (frozenset([tuple(w)]) if w else frozenset())
