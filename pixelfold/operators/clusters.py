@@ -115,27 +115,33 @@ def palette(indexed: DataFrame) -> DataFrame:
     return stats.select("image_id", F.col("cid").alias("pid"), *[F.col(f"m{c}").alias(c) for c in CHANNELS], F.col("weight").alias("n"))
 
 
-def kmeans_palette(hist: DataFrame, colours: int, rounds: int = 11, tol: float = 1e-3, seed: int = 0) -> DataFrame:
-    """(image_id, pid, r, g, b, a, n) by weighted k-means with seeded k-means++ starts."""
+def kmeans(x: np.ndarray, w: np.ndarray, colours: int, rounds: int, tol: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, float]:
+    """Centres, each row's nearest and the weighted squared distance, from one k-means++ start."""
+    centres = x[[rng.choice(len(x), p=w / w.sum())]]
+    while len(centres) < min(colours, len(x)):
+        d = ((x[:, None] - centres) ** 2).sum(2).min(1) * w
+        if d.sum() == 0:
+            break
+        centres = np.vstack([centres, x[rng.choice(len(x), p=d / d.sum())]])
+    for _ in range(rounds):
+        near = ((x[:, None] - centres) ** 2).sum(2).argmin(1)
+        moved = np.array([np.average(x[near == k], axis=0, weights=w[near == k]) if (near == k).any() else c for k, c in enumerate(centres)])
+        done = np.abs(moved - centres).max() <= tol
+        centres = moved
+        if done:
+            break
+    far = ((x[:, None] - centres) ** 2).sum(2)
+    return centres, far.argmin(1), float((far.min(1) * w).sum())
+
+
+def kmeans_palette(hist: DataFrame, colours: int, rounds: int = 11, tol: float = 1e-3, seed: int = 0, attempts: int = 3) -> DataFrame:
+    """(image_id, pid, r, g, b, a, n) by weighted k-means: the best of seeded k-means++ starts."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(list(CHANNELS))
         x, w = group[list(CHANNELS)].to_numpy(np.float64), group["n"].to_numpy(np.float64)
         rng = np.random.default_rng(seed)
-        centres = x[[rng.choice(len(x), p=w / w.sum())]]
-        while len(centres) < min(colours, len(x)):
-            d = ((x[:, None] - centres) ** 2).sum(2).min(1) * w
-            if d.sum() == 0:
-                break
-            centres = np.vstack([centres, x[rng.choice(len(x), p=d / d.sum())]])
-        for _ in range(rounds):
-            near = ((x[:, None] - centres) ** 2).sum(2).argmin(1)
-            moved = np.array([np.average(x[near == k], axis=0, weights=w[near == k]) if (near == k).any() else c for k, c in enumerate(centres)])
-            done = np.abs(moved - centres).max() <= tol
-            centres = moved
-            if done:
-                break
-        near = ((x[:, None] - centres) ** 2).sum(2).argmin(1)
+        centres, near, _ = min((kmeans(x, w, colours, rounds, tol, rng) for _ in range(attempts)), key=lambda made: made[2])
         out = pd.DataFrame(np.clip(np.rint(centres), 0, 255).astype(np.int32), columns=list(CHANNELS))
         return out.assign(image_id=group["image_id"].iloc[0], pid=np.arange(len(out), dtype=np.int32), n=[int(w[near == k].sum()) for k in range(len(out))])
 

@@ -53,6 +53,20 @@ def test_kernel_and_steps_split_alike(spark):
     assert {tuple(r[c] for c in "rgba"): r["cid"] for r in again.collect()} == dict(zip(map(tuple, x.tolist()), three.tolist(), strict=True))
 
 
+def test_kmeans_keeps_the_best_of_three_starts(spark):
+    levels = [0, 1, 2, 60, 61, 62, 63, 120, 121, 200, 202, 250]
+    rows = [(0, a, b, 0, 255, 1 + (a * b) % 3) for a in levels for b in levels[::3]]
+    got = [tuple(r[c] for c in "rgba") for r in clusters.kmeans_palette(spark.createDataFrame(rows, HIST), 4).collect()]
+    x, n = np.array([r[1:5] for r in sorted(rows)], float), np.array([r[5] for r in sorted(rows)], float)
+
+    def cost(centres):
+        return (((x[:, None] - np.array(centres)) ** 2).sum(2).min(1) * n).sum()
+
+    rng = np.random.default_rng(0)
+    first, *others = [clusters.kmeans(x, n, 4, 11, 1e-3, rng)[2] for _ in range(3)]
+    assert min(others) < 0.97 * first and cost(got) == pytest.approx(min(others), rel=0.01)
+
+
 @pytest.mark.parametrize("kernel", dither.KERNELS)
 def test_exact_palette_needs_no_dithering(kernel):
     image = np.array([[[0, 0, 0, 255], [255, 255, 255, 255]] * 4] * 6)
