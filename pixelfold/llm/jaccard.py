@@ -9,19 +9,24 @@ then on. The rest is exact:
    a token or two, so a set's signatures are its rarest tokens, as many as two linked sets cannot both
    miss; how rare a token is comes from counts over all documents, in a table of fixed size, which only
    settles the order. Either way linked sets share a signature.
-2. *Groups.* Sets that share signatures are dealt into groups around the set with most company, and
-   each is compared with that centre: most links show at once.
-3. *Matrix.* Where a signature joins sets of several components still, each set queries the groups
-   there, a block of queries (a group's sets) at a time. A group's column is the union of its sets'
-   tokens; a group is opened for a query only if it holds enough of its tokens for a link with a set of
-   the group's smallest size. Only sets that pass from both sides are compared.
+2. *Groups.* A set goes to the group of its signature with most company, so similar sets meet there;
+   groups are cut by size and into chunks of bounded tokens. A group's column of the matrix holds its
+   sets, the union of their tokens and the components that its own links make: common tokens of all its
+   pairs at once are a product of two 0/1 matrices. Where one signature's sets fill several groups,
+   the groups' largest components are first held against a few centres, so that a large class of
+   copies is one component before its groups would be compared pairwise.
+3. *Matrix.* Where a signature joins sets of several components still, its groups query one another, a
+   group's sets at a time: a set queries a group only if the group's union holds enough of its tokens
+   for a link with a set of the group's smallest size, and a group that no set queries is not opened.
+   Only sets that pass from both sides are compared.
 
 Links between sets of one component are not looked for again: they change no component.
 
 Defined results: a null text, or one without words, has an empty set, no links and its own id as
 component; fewer words than a shingle are one shingle; null keys stay rows, and a component's id is
 its smallest non-null key; repeated rows are copies of one another; an empty table gives no rows;
-other columns play no part.
+other columns play no part, whatever their names. A text of any length is one set; a very long one is a
+group of its own. What a task holds is bounded by one text or one group.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import chunks, discard, over_texts, stored, unused
 from .graphs import components
 
 #: From this threshold on signatures are of parts. Sizes of a class grow by this factor.
@@ -43,12 +48,16 @@ CLASS = 1.5
 #: Counters of the table of token counts, in slices that are added up apart.
 COUNTERS, SLICES = 1 << 21, 8
 #: Sets and tokens of a group at most, on average; a group's sizes differ by this factor at most.
-GROUP, TOKENS = 256, 100_000
-ALIKE = 1.02
-#: Candidate sets up to this many are broadcast by id, others joined by a shuffle.
+GROUP, TOKENS = 512, 250_000
+ALIKE = 1.25
+#: Centres of a signature that its groups' largest components are held against.
+CENTRES = 32
+#: Candidate sets up to this many are broadcast by id if ids are numbers, others joined by a shuffle.
 BROADCAST = 500_000
-#: Characters that are turned into words at a time.
-CHUNK = 1_000_000
+#: Cells of a 0/1 matrix, and bytes of a batch of columns.
+CELLS, BATCH = 2_000_000, 4_000_000
+#: Sets that a task has met, whose signatures it does not say again; forgotten when so many.
+MET = 1_000_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -144,7 +153,7 @@ def rarest(tokens: np.ndarray, percent: int, counted: np.ndarray) -> np.ndarray:
     return tokens[order[:keep]].view(np.int64)
 
 
-def token_counts(docs: DataFrame, size: int, text: str) -> np.ndarray:
+def token_counts(docs: DataFrame, size: int, key: str, text: str) -> np.ndarray:
     """How many documents hold a token, over all documents; tokens share counters."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,8 +167,9 @@ def token_counts(docs: DataFrame, size: int, text: str) -> np.ndarray:
                     if len(tokens) and not first:
                         first = 1 + int(tokens[0] >> np.uint64(8)) % 64  # spreads the sums over some tasks
                     np.add.at(total, (tokens & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
-        pack = zstandard.ZstdCompressor(level=1).compress
-        yield pd.DataFrame({"j": range(SLICES), "m": first, "c": [pack(x.tobytes()) for x in np.split(total, SLICES)]})
+        if first:
+            pack = zstandard.ZstdCompressor(level=1).compress
+            yield pd.DataFrame({"j": range(SLICES), "m": first, "c": [pack(x.tobytes()) for x in np.split(total, SLICES)]})
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         import zstandard
@@ -179,17 +189,6 @@ def token_counts(docs: DataFrame, size: int, text: str) -> np.ndarray:
     return np.concatenate([slices.get(j, np.zeros(COUNTERS // SLICES, np.uint32)) for j in range(SLICES)])
 
 
-def chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= CHUNK:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def name_of(tokens: np.ndarray) -> int | None:
     """A set's 64-bit name."""
     import xxhash
@@ -198,197 +197,318 @@ def name_of(tokens: np.ndarray) -> int | None:
 
 
 def tokenized(docs: DataFrame, percent: int, size: int, key: str, text: str) -> DataFrame:
-    """Rows (k, n, h, sigs): key, set size, the set's name and its signatures."""
-    kind = docs.schema[key].dataType.simpleString()
-    sent = None if percent >= PARTS else docs.sparkSession.sparkContext.broadcast(token_counts(docs, size, text))
+    """Rows (k, n, h, sigs): key, set size, the set's name and its signatures, which a task says only
+    once for equal sets."""
+    sent = None if percent >= PARTS else docs.sparkSession.sparkContext.broadcast(token_counts(docs, size, key, text))
 
     def signed(tokens: np.ndarray) -> np.ndarray:
         if sent is not None:
             return rarest(tokens, percent, sent.value)
         return signatures(tokens, _levels.setdefault(percent, Levels(percent)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = batch["t"].tolist()
-            for lo, hi in chunks(texts):
-                sets = token_sets(texts[lo:hi], size)
-                yield pd.DataFrame({
-                    "k": batch["k"].iloc[lo:hi].to_numpy(), "n": [len(s) for s in sets], "h": pd.array([name_of(s) for s in sets], dtype="Int64"),
-                    "sigs": [signed(s) if len(s) else np.empty(0, np.int64) for s in sets],
-                })
+    def start():
+        met: set[int] = set()
+
+        def run(texts: list[str | None]) -> tuple:
+            sets = token_sets(texts, size)
+            names, sigs = [name_of(s) for s in sets], []
+            for h, s in zip(names, sets, strict=True):
+                sigs.append(signed(s) if h is not None and h not in met else [])
+                if len(met) >= MET:
+                    met.clear()
+                met.add(h)
+            return None, [len(s) for s in sets], names, sigs
+
+        return run
 
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, n long, h long, sigs array<bigint>")
+    return over_texts(docs, key, text, "n long, h long, sigs array<bigint>", start).withColumnRenamed(key, "k")
 
 
 def token_table(docs: DataFrame, wanted: DataFrame, size: int, key: str, text: str, few: bool) -> DataFrame:
-    """Rows (h, tokens) for the wanted (k, h): the sets of those documents, as bytes."""
+    """Rows (h, gid, home, split, tokens) for the wanted (k, h, gid, home, split): their sets, as bytes."""
+    group = ("gid", "home", "split")
+
+    def keyed(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = batch["t"].tolist()
+            texts = batch.column("t").to_pylist()
             for lo, hi in chunks(texts):
-                sets = token_sets(texts[lo:hi], size)
-                names = batch["h"].iloc[lo:hi].to_numpy()
+                sets, part = token_sets(texts[lo:hi], size), batch.slice(lo, hi - lo)
+                names = part.column("h").to_pylist()
                 # A key can have several texts; the one of this name is meant.
-                rows = [(h, s.tobytes()) for h, s in zip(names.tolist(), sets, strict=True) if name_of(s) == h]
-                yield pd.DataFrame(rows, columns=["h", "tokens"])
+                at = [i for i, (h, s) in enumerate(zip(names, sets, strict=True)) if name_of(s) == h]
+                kept = part.take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*[kept.column(c) for c in ("h", *group)], pa.array([sets[i].tobytes() for i in at], pa.binary())], names=["h", *group, "tokens"])
+
+    def named(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = batch["t"].tolist()
+            texts = batch.column("t").to_pylist()
             for lo, hi in chunks(texts):
-                yield pd.DataFrame([(name_of(s), s.tobytes()) for s in token_sets(texts[lo:hi], size) if len(s)], columns=["h", "tokens"])
+                sets = [s for s in token_sets(texts[lo:hi], size) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([name_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["h", "tokens"])
 
     def side(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if few else df
 
     body = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    keyed = body.join(side(wanted), "k").select("h", "t").mapInPandas(run, "h long, tokens binary")
+    out = body.join(side(wanted), "k").select("h", *group, "t").mapInArrow(keyed, "h long, gid long, home long, split boolean, tokens binary")
+    bare = wanted.filter("k IS NULL")
+    if bare.isEmpty():
+        return out
     # Rows without a key are found by their sets' names, not paired with one another.
-    unkeyed = body.filter("k IS NULL").select("t").mapInPandas(named, "h long, tokens binary")
-    return keyed.union(unkeyed.join(side(wanted.filter("k IS NULL").select("h")), "h", "left_semi"))
-
-
-def compared(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that are linked."""
+    unkeyed = body.filter("k IS NULL").select("t").mapInArrow(named, "h long, tokens binary").dropDuplicates(["h"])
+    return out.union(unkeyed.join(side(bare.select("h", *group)), "h").select("h", *group, "tokens"))
+
+
+def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each set on the left shares with each on the right: 0/1 matrices over the
+    tokens that both sides hold, multiplied a slice of tokens at a time."""
+    sides = [np.concatenate(s) for s in (left, right)]
+    rows = [np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in (left, right)]
+    if left is right:
+        tokens, count = np.unique(sides[0], return_counts=True)
+        tokens = tokens[count > 1]
+    else:
+        tokens = np.intersect1d(*sides)
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not len(tokens):
+        return out.astype(np.int64)
+    placed = []
+    for flat, row in zip(sides, rows, strict=True):
+        at = np.minimum(np.searchsorted(tokens, flat), len(tokens) - 1)
+        held = tokens[at] == flat
+        order = np.argsort(at[held], kind="stable")
+        placed.append((at[held][order], row[held][order]))
+    wide = max(64, CELLS // (len(left) + len(right)))
+    for lo in range(0, len(tokens), wide):
+        cells = []
+        for (at, row), n in zip(placed, out.shape, strict=True):
+            first, last = np.searchsorted(at, (lo, lo + wide))
+            one = np.zeros((n, min(wide, len(tokens) - lo)), np.float32)
+            one[row[first:last], at[first:last] - lo] = 1
+            cells.append(one)
+        out += cells[0] @ cells[1].T
+    return out.astype(np.int64)
+
+
+def linked(same: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of sets are linked, from their common tokens and their sizes."""
+    return 100 * same >= percent * (n[:, None] + m[None, :] - same)
+
+
+def smallest_reached(link: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix of links the smallest row that it reaches."""
+    at = np.arange(len(link))
+    while True:
+        new = np.minimum(np.where(link, at[None, :], len(at)).min(1), at)
+        new = new[new]
+        if (new == at).all():
+            return at
+        at = new
+
+
+def made_columns(dealt: DataFrame, percent: int) -> DataFrame:
+    """The matrix's columns from rows sorted by group: the group, its sets' names, components and sizes,
+    their tokens, and the tokens' union (null where one set is all)."""
+    shape = "gid long, home long, split boolean, h array<bigint>, label array<bigint>, n array<bigint>, tokens binary, held binary"
+
+    def column(gid: int, home: int, split: bool, rows: dict[int, bytes]) -> tuple:
+        h = np.array(sorted(rows), np.int64)
+        sets = [np.frombuffer(rows[x], np.uint64) for x in h.tolist()]
+        n = np.array([len(s) for s in sets], np.int64)
+        label, held = h, None
+        if len(sets) > 1:
+            label = h[smallest_reached(linked(common(sets, sets), n, n, percent) | np.eye(len(h), dtype=bool))]
+            held = np.unique(np.concatenate(sets)).tobytes()
+        return gid, home, split, h, label, n, b"".join(rows[x] for x in h.tolist()), held
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        types = [pa.int64(), pa.int64(), pa.bool_(), *[pa.list_(pa.int64())] * 3, pa.binary(), pa.binary()]
+        names = [c.strip().split(" ")[0] for c in shape.split(",")]
+        out: list[tuple] = []
+        size, now, rows = 0, None, {}
+
+        def ready() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch["x"], batch["y"], strict=True):
-                both = len(x) // 8 + len(y) // 8
-                same = both - len(np.union1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
-                keep.append(100 * same >= percent * (both - same))
-            yield batch.loc[keep, ["a", "b"]]
-
-    left = tokens.select(F.col("h").alias("a"), F.col("tokens").alias("x"))
-    right = tokens.select(F.col("h").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
-
+            for gid, home, split, h, tokens in zip(*[batch.column(c).to_pylist() for c in ("gid", "home", "split", "h", "tokens")], strict=True):
+                if now is None or gid != now[0]:
+                    if now is not None:
+                        out.append(column(*now, rows))
+                        size += 3 * len(out[-1][6])
+                        if size > BATCH:
+                            yield ready()
+                            out, size = [], 0
+                    now, rows = (gid, home, split), {}
+                rows[h] = tokens
+        if now is not None:
+            out.append(column(*now, rows))
+            yield ready()
+
+    return dealt.mapInArrow(run, shape)
+
+
+def centred(columns: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of components by their labels: of each cut-up signature's groups the largest
+    component's first set against the first of those sets that are like none before."""
+
+    def largest(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-def group_columns(nodes: DataFrame, tokens: DataFrame) -> DataFrame:
-    """The matrix's columns: for each group its sets' names, components, sizes and tokens, and their
-    union. Groups are of bounded size."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.frombuffer(x, np.uint64) for x in group["tokens"]]
-        union = np.unique(np.concatenate(sets))
-        numbers = [group["h"].to_numpy(np.int64), group["label"].to_numpy(np.int64), np.array([len(x) for x in sets], np.int64)]
-        return pd.DataFrame({"gid": group["gid"].iloc[:1], "names": [np.concatenate(numbers).tobytes()], "tokens": [b"".join(group["tokens"])], "held": [union.tobytes()]})
-
-    return nodes.select("gid", "h", "label").join(tokens, "h").groupBy("gid").applyInPandas(run, "gid long, names binary, tokens binary, held binary")
+        for batch in batches:
+            rows = []
+            for home, label, n, tokens in zip(*[batch.column(c).to_pylist() for c in ("home", "label", "n", "tokens")], strict=True):
+                names, count = np.unique(label, return_counts=True)
+                one = names[count.argmax()]
+                at = label.index(one)
+                start = 8 * sum(n[:at])
+                rows.append((home, int(one), tokens[start : start + 8 * n[at]]))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 3, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["home", "label", "tokens"])
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        now, centres = None, []
+        for batch in batches:
+            found = []
+            for home, label, tokens in zip(*[batch.column(c).to_pylist() for c in ("home", "label", "tokens")], strict=True):
+                if home != now:
+                    now, centres = home, []
+                one = np.frombuffer(tokens, np.uint64)
+                for name, other in centres:
+                    if 100 * min(len(one), len(other)) >= percent * max(len(one), len(other)):
+                        same = len(np.intersect1d(one, other, assume_unique=True))
+                        if 100 * same >= percent * (len(one) + len(other) - same):
+                            found.append((label, name))
+                            break
+                else:
+                    if len(centres) < CENTRES:
+                        centres.append((label, one))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    reps = columns.filter("split").select("home", "label", "n", "tokens").mapInArrow(largest, "home long, label long, tokens binary")
+    return reps.repartition("home").sortWithinPartitions("home", "label").mapInArrow(run, "a long, b long")
 
 
 class Column:
     """A group as read back."""
 
-    def __init__(self, names: bytes, tokens: bytes, held: bytes):
-        self.h, self.label, n = np.frombuffer(names, np.int64).reshape(3, -1)
-        self.sets = np.split(np.frombuffer(tokens, np.uint64), np.cumsum(n)[:-1])
-        self.held, self.n = np.frombuffer(held, np.uint64), n
+    def __init__(self, h: list[int], label: list[int], n: list[int], tokens: bytes, held: bytes | None):
+        self.label, self.n = np.array(label, np.int64), np.array(n, np.int64)
+        self.flat = np.frombuffer(tokens, np.uint64)
+        self.sets = np.split(self.flat, np.cumsum(self.n)[:-1])
+        self.held = self.flat if held is None else np.frombuffer(held, np.uint64)
 
     def overlap(self, other: "Column") -> np.ndarray:
         """How many tokens of each of its sets the other group holds."""
-        flat = np.concatenate(self.sets)
-        at = np.minimum(np.searchsorted(other.held, flat), len(other.held) - 1)
-        return np.add.reduceat(other.held[at] == flat, np.cumsum(self.n) - self.n, dtype=np.int64)
+        at = np.minimum(np.searchsorted(other.held, self.flat), len(other.held) - 1)
+        return np.add.reduceat(other.held[at] == self.flat, np.cumsum(self.n) - self.n, dtype=np.int64)
 
 
-def found_between(one: Column, other: Column, percent: int) -> list[tuple[int, int]]:
-    """Links between sets of two groups that lie in different components: each set queries the other
-    group, and the sets of both sides whose bounds allow a link are compared."""
-    least = [np.maximum(c.n.min(), -(-percent * q.n // 100)) for q, c in ((one, other), (other, one))]
-    both = one.overlap(other), other.overlap(one)
-    asking = [np.flatnonzero(100 * o >= percent * (q.n + m - o)) for o, q, m in ((both[0], one, least[0]), (both[1], other, least[1]))]
-    out = []
-    for i in asking[0]:
-        for j in asking[1]:
-            small, large = sorted((one.n[i], other.n[j]))
-            # The tokens that one side finds in the other group bound what both have.
-            most = min(both[0][i], both[1][j], small)
-            if one.label[i] == other.label[j] or 100 * most < percent * (small + large - most):
-                continue
-            same = small + large - len(np.union1d(one.sets[i], other.sets[j]))
-            if 100 * same >= percent * (small + large - same):
-                out.append((int(one.h[i]), int(other.h[j])))
-    return out
+def found_between(one: Column, other: Column, percent: int) -> set[tuple[int, int]]:
+    """Components (by label) of two groups that a link joins: each set queries the other group, and the
+    sets of both sides whose bounds allow a link are compared."""
+    asking = []
+    for q, c in ((one, other), (other, one)):
+        most, least = q.overlap(c), np.maximum(c.n.min(), -(-percent * q.n // 100))
+        asking.append(np.flatnonzero(100 * most >= percent * (q.n + least - most)))
+        if not len(asking[-1]):
+            return set()
+    left, right = ([c.sets[i] for i in at] for c, at in zip((one, other), asking, strict=True))
+    hit = linked(common(left, right), one.n[asking[0]], other.n[asking[1]], percent)
+    i, j = np.nonzero(hit & (one.label[asking[0]][:, None] != other.label[asking[1]][None, :]))
+    return set(zip(one.label[asking[0]][i].tolist(), other.label[asking[1]][j].tolist(), strict=True))
 
 
 def opened(pairs: DataFrame, columns: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between the sets of pairs of groups (g, other)."""
+    """Links (a, b) between the components of pairs of groups (g, other)."""
+    parts = ("h", "label", "n", "tokens", "held")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                one = Column(r.names, r.tokens, r.held)
-                rows += found_between(one, Column(r.names2, r.tokens2, r.held2), percent)
-            yield pd.DataFrame(rows, columns=["a", "b"], dtype="int64")
-
-    second = columns.select(F.col("gid").alias("other"), *[F.col(c).alias(f"{c}2") for c in ("names", "tokens", "held")])
-    both = pairs.join(columns.withColumnRenamed("gid", "g"), "g").join(second, "other")
-    return both.select("names", "tokens", "held", "names2", "tokens2", "held2").mapInPandas(run, "a long, b long")
-
-
-def links(docs: DataFrame, sets: DataFrame, percent: int, size: int, key: str, text: str) -> DataFrame | None:
-    """Links (a, b) between sets that connect all that are connected; None if no two sets can be."""
-    spread = sets.filter("n > 0").select("h", F.explode("sigs").alias("sig"))
-    shared = spread.groupBy("sig").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("sig")
-    hits = stored(stored(spread.join(shared, "sig"), "hits").distinct(), "distinct-hits")
-    # The set with most company is the centre of each signature's sets.
-    company = hits.groupBy("sig").agg(F.count(F.lit(1)).alias("c"))
-    rank = hits.join(company, "sig").groupBy("h").agg(F.sum("c").alias("rank"))
-    rank = stored(rank, "ranks")
-    count = rank.count()
+            found: set[tuple[int, int]] = set()
+            for i in range(batch.num_rows):
+                one, other = (Column(*[batch.column(f"{c}{x}")[i].as_py() for c in parts]) for x in ("", "2"))
+                found |= found_between(one, other, percent)
+            listed = sorted(found)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in listed], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    first = columns.select(F.col("gid").alias("g"), *parts)
+    second = columns.select(F.col("gid").alias("other"), *[F.col(c).alias(f"{c}2") for c in parts])
+    both = pairs.join(first, "g").join(second, "other")
+    return both.select(*parts, *[f"{c}2" for c in parts]).mapInArrow(run, "a long, b long")
+
+
+def queries(hits: DataFrame, columns: DataFrame, leaders: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs of groups (g, other) that share a signature whose sets are of several components."""
+    sets = columns.select("gid", F.array_min("n").alias("least"), F.array_max("n").alias("most"), F.explode(F.arrays_zip("h", "label")).alias("s"))
+    sets = sets.select("gid", "least", "most", F.col("s.h").alias("h"), F.col("s.label").alias("label"))
+    if leaders is not None:
+        sets = sets.join(leaders.withColumnRenamed("a", "label"), "label", "left").withColumn("label", F.coalesce("b", "label")).drop("b")
+    listed = hits.select("h", "sig").join(sets, "h").groupBy("sig", "gid", "least", "most").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    listed = stored(listed, "listed")
+    mixed = listed.groupBy("sig").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi"), F.min("gid").alias("_a"), F.max("gid").alias("_b"))
+    mixed = mixed.filter("_lo <> _hi AND _a <> _b").select("sig")
+    asking = stored(listed.join(mixed, "sig"), "mixed")
+    other = asking.select("sig", *[F.col(c).alias(f"{c}2") for c in ("gid", "least", "most", "lo", "hi")])
+    apart = "NOT (lo = hi AND lo2 = hi2 AND lo = lo2)"
+    near = (F.col("most") * 100 >= percent * F.col("least2")) & (F.col("most2") * 100 >= percent * F.col("least"))
+    pairs = asking.join(other, "sig").filter("gid < gid2").filter(apart).filter(near)
+    return stored(pairs.select(F.col("gid").alias("g"), F.col("gid2").alias("other")).distinct(), "queries")
+
+
+def links(docs: DataFrame, sets: DataFrame, percent: int, size: int, key: str, text: str) -> tuple[DataFrame, DataFrame] | None:
+    """The sets with company and the label of their group's component (h, label), and the labels that are
+    not the smallest of theirs (node, root); None if no two sets can be linked."""
+    spread = sets.filter("n > 0").select("h", "n", "k", F.explode("sigs").alias("sig"))
+    shared = spread.groupBy("sig").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo <> hi").select("sig", "c")
+    hits = stored(spread.join(shared, "sig"), "hits")
+    kind = F.floor(F.log("n") / math.log(ALIKE))
+    best = hits.groupBy("h").agg(F.max(F.struct("c", "sig")).alias("m"), F.min("k").alias("k"), F.max("n").alias("n"))
+    homes = stored(best.select("h", "k", "n", F.col("m.sig").alias("home"), kind.alias("kind")), "homes")
+    count = homes.count()
     if not count:
         return None
-    centres = hits.join(rank, "h").groupBy("sig").agg(F.max(F.struct("rank", "h")).alias("c"))
-    star = stored(hits.join(centres, "sig").groupBy("h").agg(F.max("c").alias("c")).select("h", F.col("c.h").alias("centre")), "stars")
-    wanted = sets.select("k", "h").join(star.select("h"), "h", "left_semi").groupBy("h").agg(F.min("k").alias("k"))
-    tokens = stored(token_table(docs, wanted, size, key, text, count <= BROADCAST).dropDuplicates(["h"]), "tokens")
-    first = stored(compared(star.filter("h <> centre").select(F.col("h").alias("a"), F.col("centre").alias("b")), tokens, percent), "first-links")
-    # Groups: sets around one centre, of like size, and of one component if that is large.
-    label = components(first)
-    size_of = tokens.select("h", (F.octet_length("tokens") / 8).alias("n"), F.floor(F.log(F.octet_length("tokens") / 8) / math.log(ALIKE)).alias("like"))
-    nodes = star.join(label, F.col("h") == F.col("node"), "left").select("h", "centre", F.coalesce("root", "h").alias("label")).join(size_of, "h")
-    large = nodes.groupBy("label").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= GROUP).select("label", F.col("label").alias("of"))
-    nodes = stored(nodes.join(large, "label", "left"), "labelled-sets")
-    crowd = nodes.groupBy(F.col("centre").alias("_c"), F.col("of").alias("_o"), F.col("like").alias("_l")).agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / GROUP), F.ceil(F.sum("n") / TOKENS)).alias("chunks")
-    )
-    same = F.col("centre").eqNullSafe(F.col("_c")) & F.col("of").eqNullSafe(F.col("_o")) & F.col("like").eqNullSafe(F.col("_l"))
-    chunk = F.pmod(F.xxhash64("h"), F.col("chunks"))
-    nodes = nodes.join(crowd, same).select("h", "centre", "label", "n", F.xxhash64("centre", "of", "like", chunk).alias("gid"))
-    nodes = stored(nodes, "groups")
-    listed = hits.join(nodes, "h")
-    mixed = listed.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("sig")
-    open_lists = stored(listed.join(mixed, "sig").select("sig", "centre", "gid").distinct(), "mixed")
-    # What shares a signature with a set of a centre is asked by all groups of that centre.
-    reach = open_lists.select("sig", "centre").distinct().join(open_lists.select("sig", F.col("gid").alias("other")).distinct(), "sig").select("centre", "other").distinct()
-    shape = nodes.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
-    second = shape.select(F.col("gid").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("least").alias("least2"), F.col("most").alias("most2"))
-    asking = open_lists.select("centre", F.col("gid").alias("g")).distinct().join(shape.withColumnRenamed("gid", "g"), "g")
-    asked = asking.join(reach, "centre").join(second, "other").filter("NOT (lo = hi AND lo2 = hi2 AND lo = lo2)").filter(
-        (F.col("most") * 100 >= percent * F.col("least2")) & (F.col("most2") * 100 >= percent * F.col("least"))
-    )
-    asked = stored(asked.select(F.greatest("g", "other").alias("g"), F.least("g", "other").alias("other")).distinct(), "queries")
-    if asked.isEmpty():
-        return first
-    wanted = asked.select("g").union(asked.select("other")).distinct()
-    columns = stored(group_columns(nodes.join(wanted, F.col("gid") == F.col("g"), "left_semi"), tokens), "columns")
-    return first.union(stored(opened(asked, columns, percent), "later-links"))
+    crowd = homes.groupBy(F.col("home").alias("_home"), F.col("kind").alias("_kind")).agg(F.greatest(F.ceil(F.count(F.lit(1)) / GROUP), F.ceil(F.sum("n") / TOKENS)).alias("parts")).filter("parts > 1")
+    cut = homes.join(crowd, (F.col("home") == F.col("_home")) & (F.col("kind") == F.col("_kind")), "left")
+    gid = F.xxhash64("home", "kind", F.coalesce(F.pmod(F.xxhash64("h"), F.col("parts")), F.lit(0)))
+    groups = stored(cut.select("h", "k", "home", F.col("parts").isNotNull().alias("split"), gid.alias("gid")), "groups")
+    few = count <= BROADCAST and docs.schema[key].dataType.typeName() in ("byte", "short", "integer", "long")
+    tokens = token_table(docs, groups, size, key, text, few)
+    columns = stored(made_columns(tokens.repartition("gid").sortWithinPartitions("gid"), percent), "columns")
+    leaders = None if groups.filter("split").isEmpty() else stored(centred(columns, percent), "leaders")
+    asked = queries(hits, columns, leaders, percent)
+    between = leaders
+    if not asked.isEmpty():
+        later = stored(opened(asked, columns, percent), "later-links")
+        between = later if between is None else between.union(later)
+    sets = columns.select(F.explode(F.arrays_zip("h", "label")).alias("s")).select("s.h", "s.label")
+    return sets, between
 
 
 def classes(docs: DataFrame, percent: int, size: int, key: str, text: str) -> DataFrame:
     """A row (k, n, h, c) for each document: key, set size, the set's name and its component."""
-    sets = stored(tokenized(docs, percent, size, key, text), "sets")
-    found = links(docs, sets, percent, size, key, text)
-    rows = sets.select("k", "n", "h")
-    if found is not None:
-        rows = rows.join(components(found), F.col("h") == F.col("node"), "left").select("k", "n", "h", F.coalesce("root", "h").alias("c"))
+    signed = stored(tokenized(docs, percent, size, key, text), "sets")
+    rows = stored(signed.select("k", "n", "h"), "names")
+    found = links(docs, signed, percent, size, key, text)
+    discard(signed)
+    if found is None:
+        return rows.select("k", "n", "h", F.col("h").alias("c"))
+    sets, between = found
+    if between is not None:
+        sets = sets.join(components(between).withColumnRenamed("node", "label"), "label", "left").select("h", F.coalesce("root", "label").alias("c"))
     else:
-        rows = rows.select("k", "n", "h", F.col("h").alias("c"))
-    return stored(rows, "classes")
+        sets = sets.select("h", F.col("label").alias("c"))
+    moved = sets.filter("h <> c").withColumnRenamed("h", "_h")
+    return stored(rows.join(moved, F.col("h") == F.col("_h"), "left").select("k", "n", "h", F.coalesce("c", "h").alias("c")), "classes")
 
 
 def join(docs: DataFrame, percent: int = 80, size: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -417,18 +537,20 @@ def deduplicate(docs: DataFrame, percent: int = 80, size: int = 5, key: str = "d
     rows = classes(docs, percent, size, key, text).filter("k IS NOT NULL")
     first = rows.filter("c IS NOT NULL").groupBy("c").agg(F.min(F.struct("k", "h")).alias("first"))
     others = rows.join(first, "c").filter((F.col("k") != F.col("first.k")) | (F.col("h") != F.col("first.h")))
-    dropped = stored(others.select(F.col("k").alias("_dropped"), F.col("h").alias("_name")).distinct(), "dropped")
-    again = stored(rows.groupBy(F.col("k").alias("_again")).count().filter("count > 1").select("_again"), "repeated-keys")
+    copy, name, again, own = (unused(docs, c) for c in ("dropped_", "name_", "again_", "set_"))
+    dropped = stored(others.select(F.col("k").alias(copy), F.col("h").alias(name)).distinct(), "dropped")
+    repeated = stored(rows.groupBy(F.col("k").alias(again)).count().filter("count > 1").select(again), "repeated-keys")
+    numbers = docs.schema[key].dataType.typeName() in ("byte", "short", "integer", "long")
 
     def side(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if df.count() <= BROADCAST else df
+        return F.broadcast(df) if numbers and df.count() <= BROADCAST else df
 
     gone = side(dropped)
-    if again.isEmpty():
-        return docs.join(gone, F.col(key) == F.col("_dropped"), "left_anti")
-    twice = side(again)
-    once = docs.join(twice, F.col(key) == F.col("_again"), "left_anti").join(gone, F.col(key) == F.col("_dropped"), "left_anti")
+    if repeated.isEmpty():
+        return docs.join(gone, F.col(key) == F.col(copy), "left_anti")
+    twice = side(repeated)
+    once = docs.join(twice, F.col(key) == F.col(again), "left_anti").join(gone, F.col(key) == F.col(copy), "left_anti")
     # Only rows with repeated keys are told apart by their sets.
-    several = docs.join(twice, F.col(key) == F.col("_again"), "left_semi").withColumn("_set", set_names(size)(F.col(text)))
-    several = several.join(gone, (F.col(key) == F.col("_dropped")) & (F.col("_set") == F.col("_name")), "left_anti")
-    return once.union(several.dropDuplicates([key, "_set"]).drop("_set"))
+    several = docs.join(twice, F.col(key) == F.col(again), "left_semi").withColumn(own, set_names(size)(F.col(text)))
+    several = several.join(gone, (F.col(key) == F.col(copy)) & (F.col(own) == F.col(name)), "left_anti")
+    return once.union(several.dropDuplicates([key, own]).drop(own))
