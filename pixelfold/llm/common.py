@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shipping import ship
 
-__all__ = ["chunks", "discard", "held_out", "new_path", "over_texts", "read", "release", "shared_dir", "ship", "stored", "unused"]
+__all__ = ["chunks", "discard", "held_out", "new_path", "over_texts", "read", "release", "shared_dir", "ship", "ship_file", "shipped_file", "stored", "unused"]
 
 #: Characters of text that a worker handles at a time.
 CHUNK = 1_000_000
@@ -154,3 +155,17 @@ def over_texts(docs: DataFrame, key: str, text: str, columns: str, start: Callab
                 yield pa.RecordBatch.from_arrays([keys, *[pa.array(c, t) for c, t in zip(made, kinds, strict=True)]], names=["k_", *[c for c, _ in parts]])
 
     return docs.select(F.col(key).alias("k_"), F.col(text).alias("t_")).mapInArrow(run, f"k_ {kind}, {columns}").withColumnRenamed("k_", key)
+
+
+def ship_file(spark: SparkSession, path: str) -> str:
+    """Sends a file of the driver to the executors; returns the name by which they find it."""
+    if "://" in path or os.path.exists(path):
+        spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
+def shipped_file(name: str) -> str:
+    """Where a file that was sent lies on this machine."""
+    from pyspark import SparkFiles
+
+    return SparkFiles.get(name)

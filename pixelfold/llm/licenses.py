@@ -10,8 +10,10 @@ Labels are those of all phrases and identifiers found. The score is how much the
 ``or`` takes its laxest side, ``and`` its strictest, and ``with`` lowers a copyleft by a level.
 
 Defined results: a null or empty text has no words and no labels; an expression that is missing
-or left open (an operator without a right side, an open parenthesis) gives the label ``unparsed``; repeated rows are scanned each; an empty table gives no rows; the
-columns of the input pass through in a struct of their own, so no names clash.
+or left open (an operator without a right side, an open parenthesis) gives the label ``unparsed``; a
+text of any length is scanned whole, in one task; repeated rows are scanned each; null keys and keys of
+any kind stay what they are; an empty table gives no rows; other columns play no part, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -19,7 +21,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,21 +44,67 @@ NOTICES = {
     "creative commons attribution sharealike": "cc-by-sa",
     "public domain": "public-domain",
     "all rights reserved": "proprietary",
+    "boost software license": "bsl",
+    "bsd 2 clause": "bsd",
+    "bsd 3 clause": "bsd",
+    "cc0 1 0 universal": "public-domain",
+    "common development and distribution license": "cddl",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "creative commons attribution noderivatives": "cc-by-nd",
+    "creative commons zero": "public-domain",
+    "do what the fuck you want to public license": "public-domain",
+    "eclipse public license": "epl",
+    "european union public licence": "eupl",
+    "gnu free documentation license": "gfdl",
+    "gnu library general public license": "lgpl",
+    "isc license": "isc",
+    "microsoft public license": "ms-pl",
+    "open data commons open database license": "odbl",
+    "open software license": "osl",
+    "python software foundation license": "psf",
+    "server side public license": "sspl",
+    "sil open font license": "ofl",
+    "the artistic license": "artistic",
+    "the unlicense": "public-domain",
+    "universal permissive license": "upl",
+    "zlib license": "zlib",
 }
 #: The beginnings of licence identifiers, in lower case, and their labels.
 IDENTIFIERS = {
+    "0bsd": "public-domain",
+    "afl": "afl",
     "agpl": "agpl",
     "apache": "apache",
+    "artistic": "artistic",
     "bsd": "bsd",
+    "bsl": "bsl",
+    "cc-by-nc": "cc-by-nc",
+    "cc-by-nd": "cc-by-nd",
     "cc-by-sa": "cc-by-sa",
     "cc-by": "cc-by",
     "cc0": "public-domain",
+    "cddl": "cddl",
+    "epl": "epl",
+    "eupl": "eupl",
+    "gfdl": "gfdl",
     "gpl": "gpl",
     "isc": "isc",
     "lgpl": "lgpl",
     "mit": "mit",
     "mpl": "mpl",
+    "ms-pl": "ms-pl",
+    "ncsa": "ncsa",
+    "odbl": "odbl",
+    "ofl": "ofl",
+    "osl": "osl",
+    "postgresql": "postgresql",
+    "psf": "psf",
+    "python": "psf",
+    "sspl": "sspl",
     "unlicense": "public-domain",
+    "upl": "upl",
+    "wtfpl": "public-domain",
+    "zlib": "zlib",
 }
 #: How much a label asks for: 0 nothing, 1 a notice, 2 its own files, 3 the whole work.
 LEVELS = {
@@ -67,9 +114,28 @@ LEVELS = {
     "bsd": 1,
     "apache": 1,
     "cc-by": 1,
+    "afl": 1,
+    "artistic": 1,
+    "bsl": 1,
+    "ms-pl": 1,
+    "ncsa": 1,
+    "ofl": 1,
+    "postgresql": 1,
+    "psf": 1,
+    "upl": 1,
+    "zlib": 1,
     "mpl": 2,
     "lgpl": 2,
     "cc-by-sa": 2,
+    "cddl": 2,
+    "epl": 2,
+    "eupl": 2,
+    "odbl": 2,
+    "cc-by-nc": 3,
+    "cc-by-nd": 3,
+    "gfdl": 3,
+    "osl": 3,
+    "sspl": 3,
     "gpl": 3,
     "agpl": 3,
     "proprietary": 3,
@@ -199,22 +265,29 @@ def scan_text(text: str | None) -> tuple[int, list[tuple[int, int, str, bool]],
 
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """A row for each document: the key, n_words, spans, expressions, labels, and score."""
+    spans = "array<struct<first_word:bigint,words:bigint,label:string,base:boolean>>"
     kind = docs.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        words = pa.list_(pa.string())
+        shown = pa.list_(pa.struct([("first_word", pa.int64()), ("words", pa.int64()), ("label", pa.string()), ("base", pa.bool_())]))
+        names, kinds = ["k_", "n_words", "spans", "expressions", "labels", "score"], [pa.int64(), shown, words, words, pa.float64()]
         for batch in batches:
             rows = []
-            for body in batch["t"]:
-                n, spans, expressions = scan_text(body)
+            for body in batch.column(1).to_pylist():
+                n, found, expressions = scan_text(body)
                 parsed = [evaluate(x) for x in expressions]
-                labels = {s[2] for s in spans}.union(*(x for x, _ in parsed))
-                levels = [LEVELS[s[2]] for s in spans] + [level for _, level in parsed]
-                shown = [{"first_word": a, "words": b, "label": c, "base": d} for a, b, c, d in spans]
-                rows.append((n, shown, expressions, sorted(labels), (1 + max(levels)) / 4 if levels else 0.0))
-            yield pd.concat([batch[["k"]], pd.DataFrame(rows, columns=["n_words", "spans", "expressions", "labels", "score"], index=batch.index)], axis=1)
+                labels = {s[2] for s in found}.union(*(x for x, _ in parsed))
+                levels = [LEVELS[s[2]] for s in found] + [level for _, level in parsed]
+                listed = [{"first_word": a, "words": b, "label": c, "base": d} for a, b, c, d in found]
+                rows.append((n, listed, expressions, sorted(labels), (1 + max(levels)) / 4 if levels else 0.0))
+            columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)]], names=names)
 
-    spans = "array<struct<first_word:bigint,words:bigint,label:string,base:boolean>>"
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, n_words long, spans {spans}, expressions array<string>, labels array<string>, score double").withColumnRenamed("k", key)
+    made = docs.select(F.col(key).alias("k_"), F.col(text).alias("t_")).mapInArrow(run, f"k_ {kind}, n_words long, spans {spans}, expressions array<string>, labels array<string>, score double")
+    return made.withColumnRenamed("k_", key)
 
 
 def digest(scanned: DataFrame, key: str = "doc_id") -> DataFrame:

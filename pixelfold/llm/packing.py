@@ -7,8 +7,8 @@ remain go, largest first, into the tightest room. The plan says for runs of equa
 sequences they go to, so its size follows the number of distinct lengths, not the documents.
 
 Defined results: a null or empty text is a document of its end id alone; only a document longer than
-``limit`` is cut; repeated rows are documents of their own; an empty table gives no rows; other
-columns play no part.
+``limit`` is cut, whatever its length; repeated rows are documents of their own; null keys and keys of any
+kind stay what they are; an empty table gives no rows; other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,11 +19,10 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import over_texts, ship_file, shipped_file, stored
 from .tokens import encoder
 
 LIMIT = 4096
@@ -176,21 +175,25 @@ def plan(histogram: dict[int, int], limit: int = LIMIT) -> list[tuple[int, int,
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, limit: int = LIMIT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, piece, start, length, ids_crc32, salt): documents as ids with their end id, cut at
     the limit; salt spreads rows evenly, whatever the keys and lengths."""
-    kind = docs.schema[key].dataType.simpleString()
+    name = ship_file(docs.sparkSession, tokenizer)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, end, row = encoder(tokenizer), end_id.to_bytes(4, "little"), 0
-        for batch in batches:
+    def start():
+        words, end, row = encoder(shipped_file(name)), end_id.to_bytes(4, "little"), 0
+
+        def cut(texts: list[str | None]) -> tuple:
+            nonlocal row
             out = []
-            for one, body in zip(batch["k"], batch["t"], strict=True):
+            for i, body in enumerate(texts):
                 ids = words.encode(body) + end
                 for piece, at in enumerate(range(0, len(ids), 4 * limit)):
                     part = ids[at : at + 4 * limit]
                     row += 1
-                    out.append((one, piece, at // 4, len(part) // 4, zlib.crc32(part), row))
-            yield pd.DataFrame(out, columns=["k", "piece", "start", "length", "ids_crc32", "salt"]).astype({"k": batch["k"].dtype})
+                    out.append((i, piece, at // 4, len(part) // 4, zlib.crc32(part), row))
+            return tuple(map(list, zip(*out, strict=True))) if out else ([],) * 6
 
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(cut, f"k {kind}, piece int, start long, length long, ids_crc32 long, salt long")
+        return cut
+
+    return over_texts(docs, key, text, "piece int, start long, length long, ids_crc32 long, salt long", start).withColumnRenamed(key, "k")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, limit: int = LIMIT, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -211,16 +214,17 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, limit: int = LIMIT, k
     within = Window.partitionBy("bucket", "length").orderBy("k", "piece", "ids_crc32", "start")
     ranked = cut.withColumn("rank", F.row_number().over(within) - 1).join(starts, ["bucket", "length"]).withColumn("rank", F.col("rank") + F.col("first"))
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
         table = sent.value
         # One number for (length, first rank): ranks are below 2**48, lengths below 2**15.
         keys = (table[:, 0] << 48) + table[:, 1]
         for batch in batches:
-            rank = batch["rank"].to_numpy(np.int64)
-            at = np.searchsorted(keys, (batch["length"].to_numpy(np.int64) << 48) + rank, side="right") - 1
-            batch["sequence_id"] = table[at, 3] + rank - table[at, 1]
-            batch["offset"] = table[at, 4]
-            yield batch.drop(columns="rank")
+            rank, length = (batch.column(c).to_numpy().astype(np.int64) for c in ("rank", "length"))
+            at = np.searchsorted(keys, (length << 48) + rank, side="right") - 1
+            made = [pa.array(table[at, 3] + rank - table[at, 1]), pa.array(table[at, 4])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *made], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return ranked.select("k", "piece", "start", "length", "ids_crc32", "rank").mapInPandas(place, f"k {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").withColumnRenamed("k", key)
+    return ranked.select("k", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, f"k {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").withColumnRenamed("k", key)

@@ -2,14 +2,15 @@
 
 The statistics of every text are a narrow table. Random Fourier features approximate a Gaussian
 kernel over them; each partition of labelled rows adds up its part of the normal equations, those
-parts are summed in two levels, and one small system is solved. Isotonic regression over a histogram
+parts are summed in levels, each of the square root of the parts before, and one small system is solved. Isotonic regression over a histogram
 of the training scores turns scores into probabilities. All labelled rows take part; what reaches the
 driver depends on the number of features and bins alone.
 
-Defined results: a null or empty text has statistics of zero; labels other than 0 and 1 and null
+Defined results: a null or empty text has statistics of zero; a text of any length is measured whole, in
+one task; null keys and keys of any kind stay what they are; labels other than 0 and 1 and null
 keys are not learnt from; without labels of both classes every score is the share of label 1 (0 if
 there are none); repeated rows are scored alike; an empty table gives no rows; other columns play no
-part.
+part, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import over_texts, stored
 
 FEATURES = 256
 #: Width of the kernel in standard deviations of the statistics, and the ridge per labelled row.
@@ -31,6 +32,8 @@ RIDGE = 1e-3
 BINS = 2000
 LOW, HIGH = -0.5, 1.5
 STATISTICS = 12
+#: Parts of the normal equations that the driver adds up at most.
+FEW = 16
 
 
 def statistics(text: str | None) -> list[float]:
@@ -62,13 +65,10 @@ def statistics(text: str | None) -> list[float]:
 
 def measured(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, x): the statistics of every whole text."""
-    kind = docs.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"k": batch["k"], "x": [statistics(t) for t in batch["t"]]})
+    def start():
+        return lambda texts: (None, [statistics(t) for t in texts])
 
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, x array<double>").withColumnRenamed("k", key)
+    return over_texts(docs, key, text, "x array<double>", start)
 
 
 class Model:
@@ -125,13 +125,20 @@ def fit(rows: DataFrame) -> Model:
                 z = sent.value.features(np.stack(batch["x"].to_numpy()))
                 total[:, :-1] += z.T @ z
                 total[:, -1] += z.T @ batch["y"].to_numpy(np.float64)
-        yield pd.DataFrame({"g": [int(total.view(np.int64).sum() % 16)], "m": [total.tobytes()]})
+        if total.any():
+            yield pd.DataFrame({"g": [int(total.view(np.int64).sum() % 2**31)], "m": [total.tobytes()]})
 
     def added(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"m": [sum(np.frombuffer(m) for m in group["m"]).tobytes()]})
-
-    parts = rows.select("x", "y").mapInPandas(equations, "g int, m binary").groupBy("g").applyInPandas(added, "m binary").collect()  # 16 rows at most
-    total = sum(np.frombuffer(r["m"]) for r in parts).reshape(size, size + 1)
+        return pd.DataFrame({"g": group["g"].iloc[:1], "m": [sum(np.frombuffer(m) for m in group["m"]).tobytes()]})
+
+    # A task adds up a square root of the parts at most, and the driver gets as few.
+    parts = stored(rows.select("x", "y").mapInPandas(equations, "g long, m binary"), "equations")
+    groups = max(1, math.isqrt(parts.count()))
+    sums = parts.withColumn("g", F.pmod(F.xxhash64("g"), F.lit(groups))).groupBy("g").applyInPandas(added, "g long, m binary")
+    while groups > FEW:
+        groups = math.isqrt(groups)
+        sums = sums.withColumn("g", F.pmod(F.xxhash64("g"), F.lit(groups))).groupBy("g").applyInPandas(added, "g long, m binary")
+    total = sum(np.frombuffer(r["m"]) for r in sums.collect()).reshape(size, size + 1)  # FEW rows at most
     ridge = RIDGE * head["n"] * np.eye(size) / FEATURES
     ridge[-1, -1] = 0
     model.weights = np.linalg.solve(total[:, :-1] + ridge + 1e-9 * np.eye(size), total[:, -1])
@@ -155,15 +162,18 @@ def fit(rows: DataFrame) -> Model:
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, score) for every document, learnt from the labels given."""
-    table = stored(measured(docs, key, text), "statistics")
-    known = labels.select(key, F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1))
-    model = fit(stored(table.join(known, key).select("x", "y"), "labelled"))
+    table = stored(measured(docs.select(F.col(key).alias("k_"), F.col(text).alias("t_")), "k_", "t_"), "statistics")
+    known = labels.select(F.col(key).alias("k_"), F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1))
+    model = fit(stored(table.join(known, "k_").select("x", "y"), "labelled"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                yield pd.DataFrame({"k": batch["k"], "score": sent.value.score(np.stack(batch["x"].to_numpy()))})
+            if batch.num_rows:
+                x = batch.column(1).flatten().to_numpy().reshape(-1, STATISTICS)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sent.value.score(x))], names=["k_", "score"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return table.select(F.col(key).alias("k"), "x").mapInPandas(run, f"k {kind}, score double").withColumnRenamed("k", key)
+    return table.select("k_", "x").mapInArrow(run, f"k_ {kind}, score double").withColumnRenamed("k_", key)

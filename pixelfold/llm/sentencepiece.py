@@ -11,8 +11,10 @@ where it starts, is left alone by the merges. (In a byte-pair encoding every beg
 encodes its own text, and pieces are an encoding when every two neighbours are.) Which neighbours
 hold is found by merging the two, once for each pair. Characters without a piece become bytes.
 
-Defined results: a null or empty text has no ids; ids that spell broken UTF-8 decode to U+FFFD;
-repeated rows are encoded each; an empty table gives no rows; other columns play no part.
+Defined results: a null or empty text has no ids; ids that spell broken UTF-8 decode to U+FFFD; a text of
+any length is encoded whole, a run without spaces as one chunk; repeated rows are encoded each; null keys
+and keys of any kind stay what they are; an empty table gives no rows; other columns play no part, whatever
+their names. A model of another kind, or one that changes texts first, is refused.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import over_texts, ship_file, shipped_file
+
 #: The sign for a space in pieces, and a code point that no text has.
 BLANK, END = "▁", 0x110000
 #: Characters of text that are handled at a time, and chunks that a worker remembers.
@@ -34,6 +37,53 @@ CACHE = 800_000
 _RUNS = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 
 
+def fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Numbers and values of a protocol buffer's fields; a message or text as bytes."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            b = message[at]
+            at += 1
+            out |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return out
+
+    while at < len(message):
+        tag = number()
+        kind = tag & 7
+        if kind == 0:
+            yield tag >> 3, number()
+            continue
+        size = number() if kind == 2 else {1: 8, 5: 4}[kind]
+        yield tag >> 3, message[at : at + size]
+        at += size
+
+
+#: Fixed values of the model format: the fields of the trainer and of the normalizer, of the model's
+#: kind and byte-pair among them, of the normalizer's rules, and of a first and of surplus spaces.
+TRAINER, NORMALIZER, KIND, BYTE_PAIR, RULES, FIRST, SURPLUS = 2, 3, 3, 2, 2, 3, 4
+_checked: set[str] = set()
+
+
+def check(path: str) -> None:
+    """ValueError unless the model is byte-pair with texts taken as they are, a space put before them."""
+    if path in _checked:
+        return
+    with open(path, "rb") as f:
+        parts = [(n, dict(fields(m))) for n, m in fields(f.read()) if n in (TRAINER, NORMALIZER)]
+    found = dict(parts)
+    rules = found.get(NORMALIZER, {})
+    if found.get(TRAINER, {}).get(KIND, 1) != BYTE_PAIR:
+        raise ValueError(f"{path} is no byte-pair model")
+    if rules.get(RULES) or not rules.get(FIRST, 1) or rules.get(SURPLUS, 1):
+        raise ValueError(f"{path} changes texts before it splits them")
+    _checked.add(path)
+
+
 class Model:
     """Pieces of a model, and the chunks encoded so far."""
 
@@ -237,37 +287,48 @@ def model(path: str) -> Model:
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, ids): ids as an array of int."""
+    check(path)
+    name = ship_file(docs.sparkSession, path)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"k": batch["k"], "ids": [np.frombuffer(x, "<u4").astype(np.int32) for x in model(path).encode(batch["t"].tolist())]})
+    def start():
+        one = model(shipped_file(name))
+        return lambda texts: (None, [np.frombuffer(x, "<u4").astype(np.int32) for x in one.encode(texts)])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, ids array<int>").withColumnRenamed("k", key)
+    return over_texts(docs, key, text, "ids array<int>", start)
 
 
 def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """Rows (key, text) from arrays of ids; an empty text for a null."""
+    check(path)
+    name = ship_file(encoded.sparkSession, path)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        one = model(shipped_file(name))
         for batch in batches:
-            raw = (b"" if x is None else np.asarray(x).astype("<u4").tobytes() for x in batch["i"])
-            yield pd.DataFrame({"k": batch["k"], "text": [model(path).decode(x) for x in raw]})
+            raw = (b"" if x is None else np.asarray(x).astype("<u4").tobytes() for x in batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([one.decode(x) for x in raw], pa.string())], names=["k_", "text"])
 
     kind = encoded.schema[key].dataType.simpleString()
-    return encoded.select(F.col(key).alias("k"), F.col(ids).alias("i")).mapInPandas(run, f"k {kind}, text string").withColumnRenamed("k", key)
+    return encoded.select(F.col(key).alias("k_"), F.col(ids).alias("i_")).mapInArrow(run, f"k_ {kind}, text string").withColumnRenamed("k_", key)
 
 
 def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, n_ids, ids_crc32, decoded_crc32, same): encoded, decoded again and compared."""
+    check(path)
+    name = ship_file(docs.sparkSession, path)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def start():
+        one = model(shipped_file(name))
+
+        def run(texts: list[str | None]) -> tuple:
             rows = []
-            for body, ids in zip(batch["t"], model(path).encode(batch["t"].tolist()), strict=True):
-                again = model(path).decode(ids)
+            for body, ids in zip(texts, one.encode(texts), strict=True):
+                again = one.decode(ids)
                 rows.append((len(ids) // 4, zlib.crc32(ids), zlib.crc32(again.encode("utf-8", "replace")), again == (body or "").replace(BLANK, " ")))
-            yield pd.concat([batch[["k"]], pd.DataFrame(rows, columns=["n_ids", "ids_crc32", "decoded_crc32", "same"], index=batch.index)], axis=1)
+            return None, *map(list, zip(*rows, strict=True))
+
+        return run
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, n_ids long, ids_crc32 long, decoded_crc32 long, same boolean").withColumnRenamed("k", key)
+    return over_texts(docs, key, text, "n_ids long, ids_crc32 long, decoded_crc32 long, same boolean", start)

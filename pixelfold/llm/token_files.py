@@ -10,8 +10,10 @@ The seek table is that of the published seekable format: the checksum is the low
 the plain bytes, the footer has the frame count, a descriptor (bit 7: checksums) and 0x8F92EAB1. So
 any zstandard reader can unpack the ids, and :class:`TokenFile` reads only the frames of one document.
 
-Defined results: a null or empty text is its end id alone; a null key comes first; rows with equal
-keys follow one another; an empty table makes no file; other columns play no part.
+Defined results: a null or empty text is its end id alone; a text of any length is as many frames as it
+needs; a null key comes first, and other keys, whole numbers of up to 64 bits, stay what they are beside
+it (keys of another kind are refused); rows with equal keys follow one another; an empty table makes no
+file; other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,12 +28,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, stored
+from .common import new_path, ship_file, shipped_file, stored
 from .tokens import encoder
 
 INDEX, SEEK, FOOTER = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
-#: Plain bytes of a frame at most.
+#: Plain bytes of a frame at most, and bytes of text for a file.
 FRAME = 1 << 20
+FILE = 256 << 20
 
 
 def filesystem(path: str):
@@ -129,47 +132,62 @@ class Writer:
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes the files; returns their list: file, name, documents, tokens and start (ids before)."""
     spark = docs.sparkSession
-    files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = docs.agg(F.percentile_approx(F.col(key).cast("long"), [i / files for i in range(1, files)] or [0.5], F.lit(20 * files))).head()[0]
+    if docs.schema[key].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError("keys of token files are whole numbers")
+    name = ship_file(spark, tokenizer)
+    docs = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    # As many files as the bytes of text ask for, the shuffle's partitions at least.
+    sized = docs.select("k", F.coalesce(F.octet_length("t"), F.lit(0)).alias("b"))
+    files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(sized.agg(F.sum("b")).head()[0] or 0) // FILE))
+    cuts = sized.agg(F.percentile_approx("k", [i / files for i in range(1, files)] or [0.5], F.lit(20 * files))).head()[0]
     bounds = spark.sparkContext.broadcast(np.array(sorted(set(cuts or []))[: files - 1], np.int64))
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator) -> Iterator:
+        import pyarrow as pa
         import xxhash
         import zstandard
 
-        words, end, row = encoder(tokenizer), end_id.to_bytes(4, "little"), 0
+        words, end, row = encoder(shipped_file(name)), end_id.to_bytes(4, "little"), 0
         shrink = zstandard.ZstdCompressor(level=1).compress
+        names = ["file", "k", "row", "part", "packed", "plain", "check"]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
         for batch in batches:
-            out = []
-            null = batch["k"].isna().to_numpy()
-            keys = batch["k"].fillna(0).astype("int64").to_numpy()
-            file = np.where(null, 0, np.searchsorted(bounds.value, keys, side="left"))
-            for one, no, at, body in zip(keys.tolist(), null.tolist(), file.tolist(), batch["t"], strict=True):
+            out, held = [], 0
+            keys = batch.column(0)
+            null = keys.is_null().to_numpy(zero_copy_only=False)
+            file = np.where(null, 0, np.searchsorted(bounds.value, keys.fill_null(0).to_numpy(), side="left"))
+            for one, at, body in zip(keys.to_pylist(), file.tolist(), batch.column(1).to_pylist(), strict=True):
                 ids = words.encode(body) + end
                 row += 1
                 for part, i in enumerate(range(0, len(ids), FRAME)):
                     plain = ids[i : i + FRAME]
-                    out.append((at, None if no else one, row, part, shrink(plain), len(plain), xxhash.xxh64_intdigest(plain) & 0xFFFFFFFF))
-            made = pd.DataFrame(out, columns=["file", "k", "row", "part", "packed", "plain", "check"])
-            made["k"] = made["k"].astype("Int64")
-            yield made
+                    out.append((at, one, row, part, shrink(plain), len(plain), xxhash.xxh64_intdigest(plain) & 0xFFFFFFFF))
+                    held += len(out[-1][4])
+                if held > 8 * FRAME:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                    out, held = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    def save(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, at, done = None, -1, []
         for batch in batches:
-            for file, one, part, packed, plain, check in zip(batch["file"], batch["k"], batch["part"], batch["packed"], batch["plain"], batch["check"], strict=True):
+            for file, one, part, packed, plain, check in zip(*[batch.column(c).to_pylist() for c in ("file", "k", "part", "packed", "plain", "check")], strict=True):
                 if file != at:
                     if now:
                         done.append((at, f"{at:06d}.ids.zst", *now.close()))
                     now, at = Writer(folder, f"{file:06d}.ids.zst"), file
-                now.add(None if pd.isna(one) else int(one), part, packed, plain, check)
+                now.add(one, part, packed, plain, check)
         if now:
             done.append((at, f"{at:06d}.ids.zst", *now.close()))
-        yield pd.DataFrame(done, columns=["file", "name", "documents", "tokens"])
+        kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], t) for i, t in enumerate(kinds)], names=["file", "name", "documents", "tokens"])
 
-    frames = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInPandas(encode, "file int, k long, row long, part int, packed binary, plain long, check long")
+    frames = docs.mapInArrow(encode, "file int, k long, row long, part int, packed binary, plain long, check long")
     dealt = frames.repartition(files, "file").sortWithinPartitions("file", F.col("k").asc_nulls_first(), "row", "part")
-    listed = stored(dealt.mapInPandas(save, "file int, name string, documents long, tokens long"), "token-list")
+    listed = stored(dealt.mapInArrow(save, "file int, name string, documents long, tokens long"), "token-list")
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     return listed.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
