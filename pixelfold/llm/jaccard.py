@@ -16,9 +16,10 @@ then on. The rest is exact:
    the groups' largest components are first held against a few centres, so that a large class of
    copies is one component before its groups would be compared pairwise.
 3. *Matrix.* Where a signature joins sets of several components still, its groups query one another, a
-   group's sets at a time: a set queries a group only if the group's union holds enough of its tokens
-   for a link with a set of the group's smallest size, and a group that no set queries is not opened.
-   Only sets that pass from both sides are compared.
+   group's sets at a time. Bits of each set, a hundredth of its tokens, first tell which groups can have
+   a link at all, and only those meet; then a set queries a group only if the group's union holds enough
+   of its tokens for a link with a set of the group's smallest size, and a group that no set queries is
+   not opened. Only sets that pass from both sides are compared.
 
 Links between sets of one component are not looked for again: they change no component.
 
@@ -46,7 +47,7 @@ from .graphs import components
 PARTS = 85
 CLASS = 1.5
 #: Counters of the table of token counts, in slices that are added up apart.
-COUNTERS, SLICES = 1 << 21, 8
+COUNTERS, SLICES = 1 << 23, 32
 #: Sets and tokens of a group at most, on average; a group's sizes differ by this factor at most.
 GROUP, TOKENS = 512, 250_000
 ALIKE = 1.25
@@ -185,8 +186,11 @@ def token_counts(docs: DataFrame, size: int, key: str, text: str) -> np.ndarray:
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
-    slices = {r["j"]: np.frombuffer(unpack(r["c"]), np.uint32) for r in parts}
-    return np.concatenate([slices.get(j, np.zeros(COUNTERS // SLICES, np.uint32)) for j in range(SLICES)])
+    out = np.zeros(COUNTERS, np.uint16)
+    wide = COUNTERS // SLICES
+    for r in parts:  # logarithms keep the order of what two bytes can tell apart
+        out[r["j"] * wide : (r["j"] + 1) * wide] = np.round(2048 * np.log2(1.0 + np.frombuffer(unpack(r["c"]), np.uint32)))
+    return out
 
 
 def name_of(tokens: np.ndarray) -> int | None:
@@ -224,43 +228,31 @@ def tokenized(docs: DataFrame, percent: int, size: int, key: str, text: str) ->
     return over_texts(docs, key, text, "n long, h long, sigs array<bigint>", start).withColumnRenamed(key, "k")
 
 
-def token_table(docs: DataFrame, wanted: DataFrame, size: int, key: str, text: str, few: bool) -> DataFrame:
-    """Rows (h, gid, home, split, tokens) for the wanted (k, h, gid, home, split): their sets, as bytes."""
-    group = ("gid", "home", "split")
-
-    def keyed(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            texts = batch.column("t").to_pylist()
-            for lo, hi in chunks(texts):
-                sets, part = token_sets(texts[lo:hi], size), batch.slice(lo, hi - lo)
-                names = part.column("h").to_pylist()
-                # A key can have several texts; the one of this name is meant.
-                at = [i for i, (h, s) in enumerate(zip(names, sets, strict=True)) if name_of(s) == h]
-                kept = part.take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*[kept.column(c) for c in ("h", *group)], pa.array([sets[i].tobytes() for i in at], pa.binary())], names=["h", *group, "tokens"])
+def candidate_texts(docs: DataFrame, wanted: DataFrame, size: int, key: str, text: str, few: bool) -> DataFrame:
+    """Rows (h, gid, home, split, t) for the wanted (k, h, gid, home, split): texts of those keys, of which
+    a key can have several, so that the set's name still has to be compared."""
+    group = ("h", "gid", "home", "split")
 
     def named(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            texts = batch.column("t").to_pylist()
+            texts = batch.column(0).to_pylist()
             for lo, hi in chunks(texts):
-                sets = [s for s in token_sets(texts[lo:hi], size) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([name_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["h", "tokens"])
+                names = [name_of(s) for s in token_sets(texts[lo:hi], size)]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), batch.column(0).slice(lo, hi - lo)], names=["h", "t"])
 
     def side(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if few else df
 
     body = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    out = body.join(side(wanted), "k").select("h", *group, "t").mapInArrow(keyed, "h long, gid long, home long, split boolean, tokens binary")
+    out = body.join(side(wanted), "k").select(*group, "t")
     bare = wanted.filter("k IS NULL")
     if bare.isEmpty():
         return out
     # Rows without a key are found by their sets' names, not paired with one another.
-    unkeyed = body.filter("k IS NULL").select("t").mapInArrow(named, "h long, tokens binary").dropDuplicates(["h"])
-    return out.union(unkeyed.join(side(bare.select("h", *group)), "h").select("h", *group, "tokens"))
+    unkeyed = body.filter("k IS NULL").select("t").mapInArrow(named, "h long, t string").dropDuplicates(["h"])
+    return out.union(unkeyed.join(side(bare.select(*group)), "h").select(*group, "t"))
 
 
 def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -310,10 +302,41 @@ def smallest_reached(link: np.ndarray) -> np.ndarray:
         at = new
 
 
-def made_columns(dealt: DataFrame, percent: int) -> DataFrame:
-    """The matrix's columns from rows sorted by group: the group, its sets' names, components and sizes,
-    their tokens, and the tokens' union (null where one set is all)."""
-    shape = "gid long, home long, split boolean, h array<bigint>, label array<bigint>, n array<bigint>, tokens binary, held binary"
+def parity(tokens: np.ndarray) -> bytes:
+    """A set's bits, about as many as it has tokens: of how many tokens each place has, whether odd.
+
+    Two sets differ in as many tokens at least as their bits differ."""
+    wide = max(64, 1 << (len(tokens) - 1).bit_length())
+    return np.packbits(np.bincount((mix(tokens) & np.uint64(wide - 1)).astype(np.int64), minlength=wide) & 1 == 1).tobytes()
+
+
+def folded(bits: bytes, wide: int) -> np.ndarray:
+    """The bits as they would be with no more than so many places."""
+    out = np.unpackbits(np.frombuffer(bits, np.uint8))
+    while len(out) > wide:
+        out = out[: len(out) // 2] ^ out[len(out) // 2 :]
+    return out
+
+
+def can_link(one: tuple, other: tuple, percent: int) -> bool:
+    """Whether the bits of two groups (labels, sizes, bits) allow a link between components."""
+    sides = [(np.array(label), np.array(n, np.int64), np.array([len(b) * 8 for b in bits]), bits) for label, n, bits in (one, other)]
+    for x in np.unique(sides[0][2]):
+        for y in np.unique(sides[1][2]):
+            at = [np.flatnonzero(side[2] == z) for side, z in zip(sides, (x, y), strict=True)]
+            flat = [np.stack([folded(side[3][i], min(x, y)) for i in rows]).astype(np.float32) for side, rows in zip(sides, at, strict=True)]
+            differ = flat[0].sum(1)[:, None] + flat[1].sum(1)[None, :] - 2 * (flat[0] @ flat[1].T)
+            n = sides[0][1][at[0]][:, None] + sides[1][1][at[1]][None, :]
+            apart = sides[0][0][at[0]][:, None] != sides[1][0][at[1]][None, :]
+            if (apart & (differ.astype(np.int64) * (100 + percent) <= n * (100 - percent))).any():
+                return True
+    return False
+
+
+def made_columns(dealt: DataFrame, percent: int, size: int) -> DataFrame:
+    """The matrix's columns from texts sorted by group: the group, its sets' names, components, sizes and
+    bits, their tokens, and the tokens' union (null where one set is all)."""
+    shape = "gid long, home long, split boolean, h array<bigint>, label array<bigint>, n array<bigint>, bits array<binary>, tokens binary, held binary"
 
     def column(gid: int, home: int, split: bool, rows: dict[int, bytes]) -> tuple:
         h = np.array(sorted(rows), np.int64)
@@ -323,28 +346,35 @@ def made_columns(dealt: DataFrame, percent: int) -> DataFrame:
         if len(sets) > 1:
             label = h[smallest_reached(linked(common(sets, sets), n, n, percent) | np.eye(len(h), dtype=bool))]
             held = np.unique(np.concatenate(sets)).tobytes()
-        return gid, home, split, h, label, n, b"".join(rows[x] for x in h.tolist()), held
+        return gid, home, split, h, label, n, [parity(x) for x in sets], b"".join(rows[x] for x in h.tolist()), held
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        types = [pa.int64(), pa.int64(), pa.bool_(), *[pa.list_(pa.int64())] * 3, pa.binary(), pa.binary()]
+        types = [pa.int64(), pa.int64(), pa.bool_(), *[pa.list_(pa.int64())] * 3, pa.list_(pa.binary()), pa.binary(), pa.binary()]
         names = [c.strip().split(" ")[0] for c in shape.split(",")]
         out: list[tuple] = []
-        size, now, rows = 0, None, {}
+        size_now, now, rows = 0, None, {}
 
         def ready() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
+        def sets_of(batch) -> Iterator[tuple]:
+            texts = batch.column("t").to_pylist()
+            groups = [batch.column(c).to_pylist() for c in ("gid", "home", "split", "h")]
+            for lo, hi in chunks(texts):
+                sets = token_sets(texts[lo:hi], size)
+                yield from ((gid, home, split, h, s.tobytes()) for gid, home, split, h, s in zip(*[g[lo:hi] for g in groups], sets, strict=True) if name_of(s) == h)
+
         for batch in batches:
-            for gid, home, split, h, tokens in zip(*[batch.column(c).to_pylist() for c in ("gid", "home", "split", "h", "tokens")], strict=True):
+            for gid, home, split, h, tokens in sets_of(batch):
                 if now is None or gid != now[0]:
                     if now is not None:
                         out.append(column(*now, rows))
-                        size += 3 * len(out[-1][6])
-                        if size > BATCH:
+                        size_now += 3 * len(out[-1][7])
+                        if size_now > BATCH:
                             yield ready()
-                            out, size = [], 0
+                            out, size_now = [], 0
                     now, rows = (gid, home, split), {}
                 rows[h] = tokens
         if now is not None:
@@ -426,6 +456,30 @@ def found_between(one: Column, other: Column, percent: int) -> set[tuple[int, in
     return set(zip(one.label[asking[0]][i].tolist(), other.label[asking[1]][j].tolist(), strict=True))
 
 
+def asked_of(columns: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The columns of groups that the pairs name."""
+    asked = stored(pairs.select("g").union(pairs.select("other")).distinct().withColumnRenamed("g", "gid"), "asked")
+    return columns.join(F.broadcast(asked) if asked.count() <= BROADCAST else asked, "gid", "left_semi")
+
+
+def possible(pairs: DataFrame, columns: DataFrame, percent: int) -> DataFrame:
+    """Those pairs of groups (g, other) whose bits allow a link, before any tokens are moved."""
+    parts = ("label", "n", "bits")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            sides = [list(zip(*[batch.column(f"{c}{x}").to_pylist() for c in parts], strict=True)) for x in ("", "2")]
+            keep = [can_link(a, b, percent) for a, b in zip(*sides, strict=True)]
+            yield batch.select(["g", "other"]).filter(pa.array(keep, pa.bool_()))
+
+    columns = asked_of(columns, pairs)
+    first = columns.select(F.col("gid").alias("g"), *parts)
+    second = columns.select(F.col("gid").alias("other"), *[F.col(c).alias(f"{c}2") for c in parts])
+    return pairs.join(first, "g").join(second, "other").select("g", "other", *parts, *[f"{c}2" for c in parts]).mapInArrow(run, "g long, other long")
+
+
 def opened(pairs: DataFrame, columns: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between the components of pairs of groups (g, other)."""
     parts = ("h", "label", "n", "tokens", "held")
@@ -441,6 +495,7 @@ def opened(pairs: DataFrame, columns: DataFrame, percent: int) -> DataFrame:
             listed = sorted(found)
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in listed], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
+    columns = asked_of(columns, pairs)
     first = columns.select(F.col("gid").alias("g"), *parts)
     second = columns.select(F.col("gid").alias("other"), *[F.col(c).alias(f"{c}2") for c in parts])
     both = pairs.join(first, "g").join(second, "other")
@@ -465,12 +520,14 @@ def queries(hits: DataFrame, columns: DataFrame, leaders: DataFrame | None, perc
     return stored(pairs.select(F.col("gid").alias("g"), F.col("gid2").alias("other")).distinct(), "queries")
 
 
-def links(docs: DataFrame, sets: DataFrame, percent: int, size: int, key: str, text: str) -> tuple[DataFrame, DataFrame] | None:
-    """The sets with company and the label of their group's component (h, label), and the labels that are
+def links(docs: DataFrame, sets: DataFrame, percent: int, size: int, key: str, text: str) -> tuple[DataFrame, DataFrame | None] | None:
+    """From the stored sets, which go once they have been asked for company: the sets with company and the label of their group's component (h, label), and the labels that are
     not the smallest of theirs (node, root); None if no two sets can be linked."""
     spread = sets.filter("n > 0").select("h", "n", "k", F.explode("sigs").alias("sig"))
-    shared = spread.groupBy("sig").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo <> hi").select("sig", "c")
+    # A count alone, as it is one of every signature: copies that several tasks met count as company.
+    shared = spread.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     hits = stored(spread.join(shared, "sig"), "hits")
+    discard(sets)
     kind = F.floor(F.log("n") / math.log(ALIKE))
     best = hits.groupBy("h").agg(F.max(F.struct("c", "sig")).alias("m"), F.min("k").alias("k"), F.max("n").alias("n"))
     homes = stored(best.select("h", "k", "n", F.col("m.sig").alias("home"), kind.alias("kind")), "homes")
@@ -482,11 +539,13 @@ def links(docs: DataFrame, sets: DataFrame, percent: int, size: int, key: str, t
     gid = F.xxhash64("home", "kind", F.coalesce(F.pmod(F.xxhash64("h"), F.col("parts")), F.lit(0)))
     groups = stored(cut.select("h", "k", "home", F.col("parts").isNotNull().alias("split"), gid.alias("gid")), "groups")
     few = count <= BROADCAST and docs.schema[key].dataType.typeName() in ("byte", "short", "integer", "long")
-    tokens = token_table(docs, groups, size, key, text, few)
-    columns = stored(made_columns(tokens.repartition("gid").sortWithinPartitions("gid"), percent), "columns")
+    texts = candidate_texts(docs, groups, size, key, text, few)
+    columns = stored(made_columns(texts.repartition("gid").sortWithinPartitions("gid"), percent, size), "columns")
     leaders = None if groups.filter("split").isEmpty() else stored(centred(columns, percent), "leaders")
     asked = queries(hits, columns, leaders, percent)
     between = leaders
+    if not asked.isEmpty():
+        asked = stored(possible(asked, columns, percent), "possible")
     if not asked.isEmpty():
         later = stored(opened(asked, columns, percent), "later-links")
         between = later if between is None else between.union(later)
@@ -499,7 +558,6 @@ def classes(docs: DataFrame, percent: int, size: int, key: str, text: str) -> Da
     signed = stored(tokenized(docs, percent, size, key, text), "sets")
     rows = stored(signed.select("k", "n", "h"), "names")
     found = links(docs, signed, percent, size, key, text)
-    discard(signed)
     if found is None:
         return rows.select("k", "n", "h", F.col("h").alias("c"))
     sets, between = found

@@ -199,7 +199,7 @@ class Model:
         stop = begin + length
         # Edges by where they end in their chunk: all chunks are relaxed side by side.
         offset = stop - first[begin]
-        order = np.lexsort((length, offset))
+        order = np.argsort(offset.astype(np.uint16) if size.max(initial=0) < 1 << 16 else offset, kind="stable")
         begin, piece, stop, offset = begin[order], piece[order], stop[order], offset[order]
         last, back = np.full(n + 1, -1, np.int64), np.full(n + 1, -1, np.int64)
         last[start] = -2
@@ -259,10 +259,17 @@ class Model:
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Places in the order of what stands there, by the first ``depth`` characters: prefix doubling."""
-    rank, k = text.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
+    """Places in the order of what stands there, by the first ``depth`` characters: prefix doubling from
+    as many characters as fit into a number. Equal ones stand in any order."""
+    letters, code = np.unique(text, return_inverse=True)
+    bits = max(1, int(len(letters)).bit_length())
+    k = max(1, min(62 // bits, depth))
+    rank = np.zeros(len(text), np.int64)
+    code = np.concatenate([code + 1, np.zeros(k, np.int64)])
+    for j in range(k):
+        rank = rank << bits | code[j : j + len(text)]
     while True:
+        order = np.argsort(rank)
         step = np.empty(len(text), np.int64)
         step[order] = np.cumsum(np.concatenate([[0], rank[order][1:] != rank[order][:-1]])) if len(text) else 0
         rank = step + 1
@@ -271,7 +278,6 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         later = np.zeros(len(text), np.int64)
         later[:-k] = rank[k:]
         rank = rank * (len(text) + 2) + later
-        order = np.argsort(rank, kind="stable")
         k *= 2
 
 
