@@ -29,8 +29,3 @@ def nibble(depth: int) -> Column:
     bit = [F.shiftright(F.col(c), 7 - depth).bitwiseAND(1) for c in CHANNELS]
     packed = bit[0] + bit[1] * 2 + bit[2] * 4 + bit[3] * 8
     return F.when(F.col("a") == 0, 0).otherwise(packed).cast("int")
-
-
-def prefix(depth: int) -> list[Column]:
-    """The channels' upper bits down to a depth."""
-    return [F.shiftright(F.col(c), 7 - depth).alias(c) for c in CHANNELS]

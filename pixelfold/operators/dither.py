@@ -22,6 +22,9 @@ KERNELS = {
     "jjn": ([(0, 1, 7), (0, 2, 5), (1, -2, 3), (1, -1, 5), (1, 0, 7), (1, 1, 5), (1, 2, 3), (2, -2, 1), (2, -1, 3), (2, 0, 5), (2, 1, 3), (2, 2, 1)], 48),
     "sierra": ([(0, 1, 5), (0, 2, 3), (1, -2, 2), (1, -1, 4), (1, 0, 5), (1, 1, 4), (1, 2, 2), (2, -1, 2), (2, 0, 3), (2, 1, 2)], 32),
 }
+#: For each of a kernel's rows how far from both edges a pixel must be to spread there; None:
+#: only the way ahead must be free.
+EDGES = {"atkinson": (None, 1, 0), "jjn": (2, 2, 2), "sierra": (2, 2, 1)}
 #: Squared error from which it is added to the pixel.
 THRESHOLD = 2.0
 
@@ -31,8 +34,8 @@ def diffuse(image: np.ndarray, own: np.ndarray, palette: np.ndarray, lookup: Cal
     entry of a changed colour, if it has one; limit: largest error of a channel."""
     spread, divisor = KERNELS[kernel]
     h, w = own.shape
-    reach_row = max(abs(s) for r, s, _ in spread if r == 0)
-    reach_next = max((abs(s) for r, s, _ in spread if r == 1), default=0)
+    ahead_free = max(abs(s) for r, s, _ in spread if r == 0)
+    edges = EDGES[kernel]
     errors = np.zeros((h + 2, w, 4), np.float32)
     out = np.empty((h, w), np.int32)
     colours = palette.astype(np.float32)
@@ -55,11 +58,10 @@ def diffuse(image: np.ndarray, own: np.ndarray, palette: np.ndarray, lookup: Cal
                 entry = int(own[y, x])
             out[y, x] = entry
             rest = (pixel - colours[entry]) / np.float32(divisor)
+            room = [y + r < h and (0 <= x + ahead_free * ahead < w if far is None else far <= x < w - far) for r, far in enumerate(edges)]
             for r, s, weight in spread:
-                to = x + s * ahead
-                inside = 0 <= x + reach_row * ahead < w if r == 0 else reach_next <= x < w - reach_next if r == 1 else 0 <= to < w
-                if inside and y + r < h:
-                    errors[y + r, to] += rest * np.float32(weight)
+                if room[r]:
+                    errors[y + r, x + s * ahead] += rest * np.float32(weight)
     return out
 
 

@@ -85,10 +85,10 @@ def colour_index(hist: DataFrame, leaves: DataFrame) -> DataFrame:
     return spread.join(leaves.select("image_id", "level", *PREFIX, "pid"), ["image_id", "level", *PREFIX]).select("image_id", *CHANNELS, "pid")
 
 
-def index(pixels: DataFrame, leaves: DataFrame) -> DataFrame:
-    """(image_id, y, x, pid) without dithering: colours are looked up once each, then joined back."""
+def index_by(pixels: DataFrame, pids: DataFrame) -> DataFrame:
+    """(image_id, y, x, pid) without dithering, from the entry of each colour."""
     plain = pixels.select("image_id", "y", "x", *[normalized(c) for c in CHANNELS])
-    return plain.join(colour_index(histogram(pixels), leaves), ["image_id", *CHANNELS]).select("image_id", "y", "x", "pid")
+    return plain.join(pids.select("image_id", *CHANNELS, "pid"), ["image_id", *CHANNELS]).select("image_id", "y", "x", "pid")
 
 
 def nearest(colours: DataFrame, entries: DataFrame) -> DataFrame:

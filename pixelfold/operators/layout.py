@@ -18,6 +18,15 @@ LEAST = 8
 BOX = ("x1", "y1", "x2", "y2")
 
 
+#: Widest and highest screen.
+LARGEST = (1928, 1088)
+
+
+def check_screen(screen_w: int, screen_h: int) -> None:
+    if not (LEAST <= screen_w <= LARGEST[0] and LEAST <= screen_h <= LARGEST[1]):
+        raise ValueError(f"screens are from {LEAST} x {LEAST} to {LARGEST[0]} x {LARGEST[1]}")
+
+
 def fits(screen_w: int, screen_h: int) -> Column:
     """Whether a mask lies on the screen."""
     return (F.col("xp") >= 0) & (F.col("yp") >= 0) & (F.col("w") > 0) & (F.col("h") > 0) & (F.col("xp") + F.col("w") <= screen_w) & (F.col("yp") + F.col("h") <= screen_h)
@@ -62,6 +71,11 @@ def containers(pixels: DataFrame) -> DataFrame:
     return padded(tight)
 
 
+def raw_containers(layouts: DataFrame, pixels: DataFrame) -> DataFrame:
+    """(layout_id, x1, y1, x2, y2) of every layout, null before it has a pixel."""
+    return layouts.select("layout_id").join(containers(pixels), "layout_id", "left")
+
+
 def container_history(masks: DataFrame, epoch: Column) -> DataFrame:
     """(layout_id, epoch, box): the container at each look, which keeps what earlier looks had."""
     boxes = mask_pixels(masks.withColumn("seq", epoch)).groupBy("layout_id", F.col("seq").alias("epoch")).agg(F.min("x").alias("x1"), F.min("y").alias("y1"), (F.max("x") + 1).alias("x2"), (F.max("y") + 1).alias("y2"))
@@ -75,6 +89,7 @@ def container_history(masks: DataFrame, epoch: Column) -> DataFrame:
 
 def extended(boxes: DataFrame, screen_w: int, screen_h: int) -> DataFrame:
     """Adds ex1, ey1, ex2, ey2: the container with a margin of up to seven pixels."""
+    check_screen(screen_w, screen_h)
     m = LEAST - 1
     return boxes.select(
         "*", F.greatest(F.lit(0), F.col("x1") - m).alias("ex1"), F.greatest(F.lit(0), F.col("y1") - m).alias("ey1"),

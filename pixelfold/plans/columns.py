@@ -13,13 +13,15 @@ COLUMNS = {
     "rgba_pixels": f"image_id:long y:int x:int {_RGBA}",
     "rgba_normalize": f"image_id:long y:int x:int {_RGBA}",
     "rle_validate_dims": "image_id:long width:int height:int valid:boolean",
-    "rle_validate_whole_dims": "image_id:long width:int height:int valid:boolean",
     "rle_runs": "image_id:long y:int run_idx:int x_start:int len:int v:int",
     "rle_run_codes": "image_id:long y:int run_idx:int code:string",
     "rle_encode": "image_id:long width:int height:int data_hex:string",
     "rle_encode_events": "image_id:long width:int height:int data_hex:string",
     "rle_encode_text": "image_id:long width:int height:int data_md5:string",
-    "rle_encode_whole_text": "image_id:long width:int height:int data_md5:string",
+    "rle_encode_dense": "image_id:long width:int height:int data_hex:string error:string",
+    "rle_decode_dense": "image_id:long width:int height:int data_hex:string error:string",
+    "rle_encode_dense_arrow": "image_id:long width:int height:int data_hex:string error:string",
+    "rle_decode_dense_arrow": "image_id:long width:int height:int data_hex:string error:string",
     "rle_size_ratio": "image_id:long n_pixels:long n_bytes:long",
     "rle_row_budget": "image_id:long y:int n_bytes:long width:int fits:boolean",
     "rle_tokenize": "image_id:long y:int run_idx:int x_start:int len:int v:int",
@@ -33,6 +35,7 @@ COLUMNS = {
     "layout_screen": "layout_id:long y:int x:int",
     "layout_changed": "layout_id:long seq:long changed:boolean",
     "layout_container": f"layout_id:long {_BOX}",
+    "layout_raw_container": f"layout_id:long {_BOX}",
     "layout_container_history": f"layout_id:long epoch:long {_BOX}",
     "layout_extended": f"layout_id:long {_BOX} ex1:int ey1:int ex2:int ey2:int",
     "layout_candidates": f"layout_id:long axis_rank:int pos:int {_WINDOWS} area:long",
@@ -54,8 +57,12 @@ COLUMNS = {
     "utc_index_k8": f"image_id:long {_RGBA} n:long pid:int",
     "utc_quantize": "image_id:long y:int x:int pid:int",
     "utc_dither": "image_id:long y:int x:int pid:int",
+    "hextree_quantize_bitmap": "image_id:long width:int height:int data_hex:string error:string",
+    "hextree_quantize_palette": f"image_id:long pid:int {_RGBA}",
+    "utc_quantize_bitmap": "image_id:long width:int height:int data_hex:string error:string",
+    "utc_quantize_palette": f"image_id:long pid:int {_RGBA}",
     "kmeans_palette": f"image_id:long pid:int {_RGBA} n:long",
-    "capabilities": "operator:string implementation:string",
+    "capabilities": "operator:string implementation:string available:boolean version:string",
 }
 SQL_TYPES = {"long": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN"}
 

@@ -19,10 +19,6 @@ F3 = """f3 AS (
   f3n AS (SELECT image_id, y, x, CASE a WHEN 0 THEN 0 ELSE r END AS r, CASE a WHEN 0 THEN 0 ELSE g END AS g, CASE a WHEN 0 THEN 0 ELSE b END AS b, a FROM f3),
   h3 AS (SELECT image_id, r, g, b, a, count(*) AS n FROM f3n GROUP BY ALL)"""
 F4 = """f4 AS (
-  SELECT image_id, i // 64 AS y, i % 64 AS x, ord(c) & 255 AS v
-  FROM (SELECT doc_id AS image_id, length(text) // 64 AS rows, unnest(range(length(text))) AS i, unnest(string_split(text, '')) AS c FROM documents WHERE length(text) >= 512)
-  WHERE i // 64 < rows)"""
-F4W = """f4w AS (
   SELECT image_id, i // 64 AS y, i % 64 AS x, ord(c) & 255 AS v
   FROM (SELECT image_id, unnest(range(size)) AS i, unnest(string_split(text || repeat(chr(256), size - length(text)), '')) AS c
     FROM (SELECT doc_id AS image_id, coalesce(text, '') AS text, greatest(512, (length(coalesce(text, '')) + 63) // 64 * 64) AS size FROM documents)))"""
@@ -69,9 +65,9 @@ CUTS = BOXES + ", " + cuts("y", "x", 0) + ", " + cuts("x", "y", 1) + """,
   cand AS (SELECT *, (w0_x2 - w0_x1) * (w0_y2 - w0_y1) + (w1_x2 - w1_x1) * (w1_y2 - w1_y1) AS area FROM (SELECT * FROM cy UNION ALL BY NAME SELECT * FROM cx)),
   best AS (SELECT c.* FROM cand c JOIN box USING (layout_id) WHERE area < (x2 - x1) * (y2 - y1) QUALIFY row_number() OVER (PARTITION BY layout_id ORDER BY area, axis_rank, pos) = 1)"""
 
-CODE = """CASE WHEN v = 0 AND len < 64 THEN '00' || printf('%02X', len) WHEN v = 0 THEN '00' || printf('%02X', 64 | len >> 8) || printf('%02X', len & 255)
+CODE = """CASE WHEN v = 0 AND len < 64 THEN '00' || printf('%02X', len) WHEN v = 0 THEN '00' || printf('%02X', 64 | (len >> 8)) || printf('%02X', len & 255)
   WHEN len < 3 THEN repeat(printf('%02X', v), len) WHEN len < 64 THEN '00' || printf('%02X', 128 + len) || printf('%02X', v)
-  ELSE '00' || printf('%02X', 192 | len >> 8) || printf('%02X', len & 255) || printf('%02X', v) END"""
+  ELSE '00' || printf('%02X', 192 | (len >> 8)) || printf('%02X', len & 255) || printf('%02X', v) END"""
 
 
 def runs(source: str, tag: str = "") -> str:
@@ -87,8 +83,11 @@ def runs(source: str, tag: str = "") -> str:
 BOTH = f"""{F1}, {F2}, both_ AS (SELECT image_id, y, x, v FROM f1 UNION ALL SELECT image_id + 1000000, y, x, v FROM f2)"""
 
 
-#: Runs of 64 or more, which only padding makes: CODE's shift must come before its or (golden vector G4).
-WHOLE = f"{F4W}, " + runs("f4w").replace("64 | len >> 8", "64 | (len >> 8)").replace("192 | len >> 8", "192 | (len >> 8)")
+#: Images and streams of which some break a rule.
+MIXED = f"""{F2}, {runs('f2')}, mixed AS (SELECT image_id, width, CASE WHEN image_id % 7 = 0 THEN 4 ELSE height END AS height,
+    CASE WHEN image_id % 7 = 0 THEN 'sides not allowed' WHEN image_id % 5 = 0 THEN 'width times height is not its size' END AS error, data_hex FROM enc)"""
+BROKEN = f"""{BOTH}, sound AS (SELECT image_id, max(x) + 1 AS width, max(y) + 1 AS height, string_agg(printf('%02X', v), '' ORDER BY y, x) AS data_hex FROM both_ GROUP BY 1),
+  broken AS (SELECT *, CASE WHEN image_id % 11 = 0 THEN 'no rows' WHEN image_id % 5 = 0 THEN 'rows differ in width' WHEN image_id % 7 = 0 THEN 'truncated' END AS error FROM sound)"""
 
 
 def tree(hist: str, colours: int) -> str:
@@ -148,27 +147,32 @@ SOURCES = {
     "pixels_to_bitmap": (F2, "SELECT image_id, max(x) + 1 AS width, max(y) + 1 AS height, string_agg(printf('%02X', v), '' ORDER BY y, x) AS data_hex FROM f2 GROUP BY 1"),
     "rgba_pixels": (F3, "SELECT * FROM f3"),
     "rgba_normalize": (F3, "SELECT * FROM f3n"),
-    "rle_validate_dims": (F4, "SELECT image_id, max(x) + 1 AS width, max(y) + 1 AS height, max(x) + 1 BETWEEN 8 AND 4096 AND max(y) + 1 BETWEEN 8 AND 4096 AS valid FROM f4 GROUP BY 1"),
-    "rle_validate_whole_dims": ("t4 AS (SELECT doc_id, (length(coalesce(text, '')) + 63) // 64 AS height FROM documents)", "SELECT doc_id AS image_id, 64 AS width, height, height BETWEEN 8 AND 4096 AS valid FROM t4"),
+    "rle_validate_dims": ("t4 AS (SELECT doc_id, (length(coalesce(text, '')) + 63) // 64 AS height FROM documents)", "SELECT doc_id AS image_id, 64 AS width, height, height BETWEEN 8 AND 4096 AS valid FROM t4"),
     "rle_runs": (f"{F2}, {runs('f2')}", "SELECT * FROM runs"),
     "rle_run_codes": (f"{F2}, {runs('f2')}", "SELECT * FROM codes"),
     "rle_encode": (f"{F2}, {runs('f2')}", "SELECT * FROM enc"),
     "rle_encode_events": (f"{F1}, {runs('f1')}", "SELECT * FROM enc"),
     "rle_encode_text": (f"{F4}, {runs('f4')}", "SELECT *, md5(data_hex) AS data_md5 FROM enc"),
-    "rle_encode_whole_text": (WHOLE, "SELECT *, md5(data_hex) AS data_md5 FROM enc"),
+    "rle_encode_dense": (MIXED, "SELECT * REPLACE (CASE WHEN error IS NULL THEN data_hex ELSE '' END AS data_hex, coalesce(error, '') AS error) FROM mixed"),
+    "rle_encode_dense_arrow": (MIXED, "SELECT * REPLACE (CASE WHEN error IS NULL THEN data_hex ELSE '' END AS data_hex, coalesce(error, '') AS error) FROM mixed"),
+    "rle_decode_dense": (BROKEN, "SELECT image_id, coalesce(error, '') AS error, CASE WHEN error IS NULL THEN width ELSE 0 END AS width, CASE WHEN error IS NULL THEN height ELSE 0 END AS height, CASE WHEN error IS NULL THEN data_hex ELSE '' END AS data_hex FROM broken"),
+    "rle_decode_dense_arrow": (BROKEN, "SELECT image_id, coalesce(error, '') AS error, CASE WHEN error IS NULL THEN width ELSE 0 END AS width, CASE WHEN error IS NULL THEN height ELSE 0 END AS height, CASE WHEN error IS NULL THEN data_hex ELSE '' END AS data_hex FROM broken"),
     "rle_size_ratio": (f"{F2}, {runs('f2')}", "SELECT image_id, width * height AS n_pixels, length(data_hex) // 2 AS n_bytes FROM enc"),
     "rle_row_budget": (f"{F2}, {runs('f2')}", "SELECT image_id, y, length(line) // 2 AS n_bytes, width, length(line) // 2 <= width AS fits FROM lines"),
     "rle_tokenize": (f"{BOTH}, {runs('both_')}", "SELECT * FROM runs"),
     "rle_decode": (BOTH, "SELECT * FROM both_"),
-    "rle_row_widths": (BOTH, "SELECT image_id, max(y) + 1 AS height, max(x) + 1 AS narrowest, max(x) + 1 AS widest, true AS consistent FROM both_ GROUP BY 1"),
+    "rle_row_widths": (BROKEN, """SELECT image_id, CASE WHEN image_id % 11 = 0 THEN 1 ELSE height + (image_id % 5 = 0)::INTEGER END AS height,
+  CASE WHEN image_id % 11 = 0 THEN 0 WHEN image_id % 5 = 0 THEN 1 ELSE width END AS narrowest, CASE WHEN image_id % 11 = 0 THEN 0 ELSE width END AS widest, image_id % 11 = 0 OR image_id % 5 <> 0 AS consistent FROM broken"""),
     "rgba_histogram": (F3, "SELECT * FROM h3"),
     "color_nibbles": (F5, f"SELECT *, {_nib} FROM h5"),
-    "color_distance": (F3, f"SELECT h.image_id, h.y, h.x, CASE WHEN p.x IS NULL THEN 0 ELSE {_far} END AS distance FROM f3 h LEFT JOIN f3 p ON p.image_id = h.image_id AND p.y = h.y AND p.x = h.x - 1"),
+    "color_distance": (F3, "SELECT image_id, y, x, (r - lr) * (r - lr) + (g - lg) * (g - lg) + (b - lb) * (b - lb) + 3 * (a - la) * (a - la) AS distance FROM (SELECT *, "
+      + ", ".join(f"coalesce(lag({c}) OVER line, {c}) AS l{c}" for c in "rgba") + " FROM f3 WINDOW line AS (PARTITION BY image_id, y ORDER BY x))"),
     "palette_nearest": (f"{F5}, {tree('h5', 16)}", f"SELECT h.*, p.pid, {_far} AS distance FROM h5 h JOIN pal p USING (image_id) QUALIFY row_number() OVER (PARTITION BY h.image_id, h.r, h.g, h.b, h.a ORDER BY {_far}, p.pid) = 1"),
     "layout_validate_masks": (F6, "SELECT layout_id, seq, xp + w <= 48 AND yp + h <= 80 AS valid FROM f6"),
     "layout_screen": (F6, "SELECT * FROM scr"),
     "layout_changed": (F6, "SELECT layout_id, seq, bool_or(first) AS changed FROM (SELECT *, row_number() OVER (PARTITION BY layout_id, y, x ORDER BY seq) = 1 AS first FROM mp) GROUP BY 1, 2"),
     "layout_container": (BOXES, "SELECT * FROM box"),
+    "layout_raw_container": (BOXES, "SELECT l.layout_id, coalesce(x1, -1) AS x1, coalesce(y1, -1) AS y1, coalesce(x2, -1) AS x2, coalesce(y2, -1) AS y2 FROM (SELECT n_nationkey AS layout_id FROM nation UNION ALL SELECT n_nationkey - 1000 FROM nation) l LEFT JOIN box ON box.layout_id = l.layout_id"),
     "layout_container_history": (HISTORY, "SELECT * FROM g3"),
     "layout_extended": (BOXES, "SELECT * FROM ext"),
     "layout_candidates": (CUTS, "SELECT * FROM cand"),
@@ -180,6 +184,8 @@ SOURCES = {
     "hextree_palette": (f"{F3}, {tree('h3', 64)}", "SELECT * FROM pal"),
     "hextree_index": (f"{F3}, {tree('h3', 64)}", "SELECT * FROM cidx"),
     "hextree_quantize": (f"{F3}, {tree('h3', 64)}", "SELECT * FROM f3n JOIN cidx USING (image_id, r, g, b, a)"),
+    "hextree_quantize_bitmap": (f"{F3}, {tree('h3', 64)}", "SELECT image_id, max(x) + 1 AS width, max(y) + 1 AS height, string_agg(printf('%02X', pid), '' ORDER BY y, x) AS data_hex, '' AS error FROM f3n JOIN cidx USING (image_id, r, g, b, a) GROUP BY 1"),
+    "hextree_quantize_palette": (f"{F3}, {tree('h3', 64)}", "SELECT image_id, pid, r, g, b, a FROM pal"),
     "utc_cluster_stats": (f"{M0}, {stats(0)}", "SELECT * FROM st0"),
     "utc_split_choice": (f"{M0}, {stats(0)}, {split(0)}, {stats(1)}", "SELECT image_id, cid FROM ch1"),
     "utc_first_split": (f"{M0}, {stats(0)}, {split(0)}", "SELECT * FROM m1"),

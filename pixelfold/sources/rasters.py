@@ -77,28 +77,20 @@ def embedding_rgba(spark: SparkSession, folder: str) -> DataFrame:
     return cells.select("image_id", "y", "x", level(0).alias("r"), level(1).alias("g"), level(2).alias("b"), alpha.cast("int").alias("a"))
 
 
-def text_bitmap(spark: SparkSession, folder: str, width: int = 64) -> DataFrame:
-    """Whole texts as images: code points modulo 256, ``width`` a row; texts under eight rows are none."""
-    d = table(spark, folder, "documents").filter(F.char_length("text") >= 8 * width)
-    cells = d.select(F.col("doc_id").alias("image_id"), F.expr(f"char_length(text) div {width}").alias("rows"), F.posexplode(F.split("text", "")).alias("i", "c"))
-    y = F.expr(f"i div {width}").cast("int")
-    return cells.filter(y < F.col("rows")).select("image_id", y.alias("y"), (F.col("i") % width).alias("x"), F.ascii("c").bitwiseAND(255).alias("v"))
-
-
 def whole_texts(spark: SparkSession, folder: str, width: int = 64) -> DataFrame:
     """(image_id, text, n, rows) of every document; a null text is an empty one, a part of a row counts."""
     d = table(spark, folder, "documents").select(F.col("doc_id").alias("image_id"), F.coalesce("text", F.lit("")).alias("text"))
     return d.withColumn("n", F.char_length("text")).withColumn("rows", F.expr(f"(n + {width - 1}) div {width}").cast("int"))
 
 
-def whole_text_bitmap(spark: SparkSession, folder: str, width: int = 64, least: int = 8) -> DataFrame:
-    """As :func:`text_bitmap`, but of every document to its last character: the last row, and texts
-    under ``least`` rows, are filled up with 0."""
+def text_bitmap(spark: SparkSession, folder: str, width: int = 64, least: int = 8) -> DataFrame:
+    """Dense images of every document to its last character, ``width`` code points modulo 256 a row: the
+    last row, and texts under ``least`` rows, are filled up with 0."""
     d = whole_texts(spark, folder, width)
-    # U+0100 is 0 modulo 256.
-    full = F.concat("text", F.repeat(F.lit("\u0100"), F.greatest(F.col("rows"), F.lit(least)) * width - F.col("n")))
-    cells = d.select("image_id", F.posexplode(F.split(full, "")).alias("i", "c"))
-    return cells.select("image_id", F.expr(f"i div {width}").cast("int").alias("y"), (F.col("i") % width).alias("x"), F.ascii("c").bitwiseAND(255).alias("v"))
+    rows = F.greatest(F.col("rows"), F.lit(least))
+    codes = F.transform(F.split("text", ""), lambda c: F.lpad(F.hex(F.ascii(c).bitwiseAND(255)), 2, "0"))
+    line = F.when(F.col("n") > 0, F.array_join(codes, "")).otherwise("")
+    return d.select("image_id", F.lit(width).alias("width"), rows.alias("height"), F.unhex(F.rpad(line, rows * width * 2, F.lit("0"))).alias("data"))
 
 
 def whole_text_dims(spark: SparkSession, folder: str, width: int = 64) -> DataFrame:

@@ -1,7 +1,9 @@
 """Layouts as a stream: masks arrive, a keyed state keeps screen and container, each batch is a look.
 
 Adding masks is idempotent and in any order, so late or repeated masks do no harm; the container keeps
-what earlier looks had, so it depends on when looks happen.
+what earlier looks had, so it depends on when looks happen. A look that found nothing new repeats the last
+result, which the state keeps. A mask that is not on the screen, or whose data is null or of another
+length than its sides say, is left out.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..operators.layout import LEAST
+from ..operators.layout import LEAST, check_screen
 
 RESULT = "layout_id long, x1 int, y1 int, x2 int, y2 int, " + ", ".join(f"w{k}_{c} int" for k in (0, 1) for c in ("x1", "y1", "x2", "y2")) + ", flag int, changed boolean"
 
@@ -67,29 +69,38 @@ def windows(screen: np.ndarray, box: list[int]) -> tuple[list[int], list[list[in
 def stream(masks: DataFrame, width: int, height: int) -> DataFrame:
     """Looks of a stream of masks (layout_id, xp, yp, w, h, data, reset BOOLEAN): one row for each
     layout and batch. A row with ``reset`` clears the layout before what follows it in the batch."""
+    check_screen(width, height)
+
+    def sound(m) -> bool:
+        if any(v is None or v != v for v in (m.xp, m.yp, m.w, m.h)) or m.data is None or isinstance(m.data, float):
+            return False
+        return 0 <= m.xp <= m.xp + m.w <= width and 0 <= m.yp <= m.yp + m.h <= height and len(m.data) == m.w * m.h
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        screen, box = np.zeros((height, width), bool), None
+        screen, box, last = np.zeros((height, width), bool), None, None
         if state.exists:
-            bits, *old = state.get
+            bits, last, *old = state.get
             screen = np.unpackbits(np.frombuffer(bits, np.uint8), count=width * height).astype(bool).reshape(height, width)
             box = list(old) if old[2] else None
         before = screen.copy()
         for batch in batches:
             for m in batch.itertuples():
                 if m.reset:
-                    screen[:], box = False, None
-                elif 0 <= m.xp and 0 <= m.yp and m.xp + m.w <= width and m.yp + m.h <= height:
-                    part = screen[m.yp : m.yp + m.h, m.xp : m.xp + m.w]
-                    part |= np.frombuffer(m.data, np.uint8).reshape(m.h, m.w) > 0
+                    screen[:], box, last = False, None, None
+                elif sound(m):
+                    x, y, w, h = (int(v) for v in (m.xp, m.yp, m.w, m.h))
+                    screen[y : y + h, x : x + w] |= np.frombuffer(m.data, np.uint8).reshape(h, w) > 0
         now = container(screen)
         if now is None:
             state.remove()
             return
         if box:
             now = [min(a, b) if i < 2 else max(a, b) for i, (a, b) in enumerate(zip(now, box, strict=True))]
-        state.update((np.packbits(screen).tobytes(), *now))
-        outer, pair, flag = windows(screen, now)
-        yield pd.DataFrame([(key[0], *outer, *pair[0], *pair[1], flag, bool((screen != before).any()))], columns=[c.split()[0] for c in RESULT.split(", ")])
+        changed = bool((screen != before).any())
+        if changed or not last:
+            outer, pair, flag = windows(screen, now)
+            last = np.array([*outer, *pair[0], *pair[1], flag], np.int32).tobytes()
+        state.update((np.packbits(screen).tobytes(), last, *now))
+        yield pd.DataFrame([(key[0], *np.frombuffer(last, np.int32).tolist(), changed)], columns=[c.split()[0] for c in RESULT.split(", ")])
 
-    return masks.groupBy("layout_id").applyInPandasWithState(update, RESULT, "screen binary, x1 int, y1 int, x2 int, y2 int", "update", "NoTimeout")
+    return masks.groupBy("layout_id").applyInPandasWithState(update, RESULT, "screen binary, last binary, x1 int, y1 int, x2 int, y2 int", "update", "NoTimeout")

@@ -88,8 +88,27 @@ def test_stream(spark, tmp_path):
     look()
     assert [flat(r) for r in seen] == [GOLDEN["one box"][1:], GOLDEN["two boxes"][1:], GOLDEN["two boxes"][1:]]
     assert [r["changed"] for r in seen] == [True, True, False]
+    put([(5, 9, 9, 4, 4, None, False), (5, 9, 9, 4, 4, bytearray(b"x"), False), (5, None, 9, 1, 1, bytearray(b"x"), False)], "bad")
+    look()
+    assert flat(seen[-1]) == GOLDEN["two boxes"][1:] and not seen[-1]["changed"]
     put([(5, 0, 0, 0, 0, bytearray(), True)], "d")
     look()
     put([row((20, 20, 1, 1))], "e")
     look()
     assert flat(seen[-1]) == GOLDEN["one pixel"][1:]
+
+
+def test_screens_and_layouts_without_masks(spark):
+    for w, h in ((7, 8), (8, 7), (1929, 8), (8, 1089)):
+        with pytest.raises(ValueError, match="screens"):
+            layout.check_screen(w, h)
+    layout.check_screen(1928, 1088)
+    m = masks(spark, [[(8, 8, 8, 8)]])
+    got = {r["layout_id"]: r["x1"] for r in layout.raw_containers(spark.createDataFrame([(0,), (1,)], "layout_id long"), layout.screen(m)).collect()}
+    assert got == {0: 8, 1: None}
+
+
+def test_cells_of_a_mask_that_are_zero_set_nothing(spark):
+    holes = bytearray([0, 1, 0, 0, 0, 2, 0, 0, 0])
+    m = spark.createDataFrame([(0, 0, 10, 20, 3, 3, holes)], SCHEMA)
+    assert sorted((r["y"], r["x"]) for r in layout.screen(m).collect()) == [(20, 11), (21, 12)]

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from pixelfold.operators import clusters, dither, hextree
+from pixelfold.operators import clusters, dither, hextree, quantize
 
 HIST = "image_id long, r int, g int, b int, a int, n long"
 TWO = [(0, 10, 20, 30, 255, 3), (0, 200, 100, 50, 255, 1)]
@@ -86,3 +86,84 @@ def test_arguments():
         with pytest.raises(ValueError, match="colours|kernel"):
             call()
     clusters.check_colours(4, strict=False)
+
+
+def slow_diffusion(image, own, palette, lookup, limit, kernel):
+    """The rules written out pixel by pixel: what is spread, and how near an edge."""
+    h, w = own.shape
+    f = np.float32
+    waiting = {}
+    out = np.zeros((h, w), int)
+
+    def give(y, x, rest, weight):
+        waiting[y, x] = waiting.get((y, x), np.zeros(4, f)) + rest * f(weight)
+
+    for y in range(h):
+        way = 1 if y % 2 == 0 else -1
+        for x in sorted(range(w), reverse=way < 0):
+            e = np.clip(waiting.get((y, x), np.zeros(4, f)), -limit, limit)
+            colour = image[y, x].astype(f)
+            if (e * e).sum() > 2:
+                colour = colour + e
+                c = np.clip(np.rint(colour), 0, 255).astype(int)
+                c = c * (c[3] > 0)
+                pid = lookup(tuple(c.tolist()))
+                if pid is None:
+                    pid = min(range(len(palette)), key=lambda k: (sum(int(d) * d * m for d, m in zip(palette[k] - c, (1, 1, 1, 3), strict=True)), k))
+            else:
+                pid = own[y, x]
+            out[y, x] = pid
+            rest = (colour - palette[pid].astype(f)) / f({"atkinson": 8, "jjn": 48, "sierra": 32}[kernel])
+            below, below2 = y + 1 < h, y + 2 < h
+            if kernel == "atkinson":
+                if (way > 0 and x < w - 2) or (way < 0 and x > 1):
+                    give(y, x + way, rest, 1), give(y, x + 2 * way, rest, 1)
+                if below and 0 < x < w - 1:
+                    for d in (-1, 0, 1):
+                        give(y + 1, x + d, rest, 1)
+                if below2:
+                    give(y + 2, x, rest, 1)
+                continue
+            far = 1 < x < w - 2
+            if far:
+                give(y, x + way, rest, 7 if kernel == "jjn" else 5), give(y, x + 2 * way, rest, 5 if kernel == "jjn" else 3)
+            if far and below:
+                for d, k in zip((-2, -1, 0, 1, 2), (3, 5, 7, 5, 3) if kernel == "jjn" else (2, 4, 5, 4, 2), strict=True):
+                    give(y + 1, x + d, rest, k)
+            if below2 and (far if kernel == "jjn" else 0 < x < w - 1):
+                for d, k in zip((-2, -1, 0, 1, 2), (1, 3, 5, 3, 1) if kernel == "jjn" else (0, 2, 3, 2, 0), strict=True):
+                    if k:
+                        give(y + 2, x + d, rest, k)
+    return out
+
+
+@pytest.mark.parametrize("kernel", dither.KERNELS)
+@pytest.mark.parametrize(("h", "w"), [(16, 40), (9, 3), (5, 1), (1, 8)])
+def test_dithering_equals_its_slow_twin(kernel, h, w):
+    rng = np.random.default_rng(h * w)
+    image = rng.integers(0, 256, (h, w, 4))
+    image[..., 3] = rng.choice([0, 128, 255], (h, w))
+    image[image[..., 3] == 0] = 0
+    palette = rng.integers(0, 256, (12, 4))
+    own = ((image[:, :, None] - palette) ** 2 * (1, 1, 1, 3)).sum(3).argmin(2)
+    known = {tuple(c): int(p) for c, p in zip(image.reshape(-1, 4).tolist(), own.ravel(), strict=True)}
+    got = dither.diffuse(image, own, palette, known.get, 16.0, kernel)
+    assert (got == slow_diffusion(image, own, palette, known.get, np.float32(16), kernel)).all()
+
+
+@pytest.mark.parametrize("method", quantize.LIMITS)
+@pytest.mark.parametrize("kernel", [None, "atkinson"])
+def test_quantize(spark, method, kernel):
+    rng = np.random.default_rng(2)
+    flat = rng.choice(8, 30 * 10)
+    colours = np.array([[0, 0, 0, 0], [255, 0, 0, 255], [0, 255, 0, 255], [0, 0, 255, 255], [9, 9, 9, 255], [90, 90, 9, 128], [200, 9, 200, 255], [255, 255, 255, 255]], np.uint8)
+    data = bytearray(colours[flat].tobytes())
+    images = [(1, 30, 10, data), (2, 30, 9, data), (3, 0, 1, bytearray()), (4, 9000, 1, bytearray(36000))]
+    bitmaps, palettes = quantize.quantize(spark.createDataFrame(images, "image_id long, width int, height int, data binary"), method, 16, kernel)
+    got = {r["image_id"]: r for r in bitmaps.collect()}
+    pal = {(r["image_id"], r["pid"]): tuple(r[c] for c in "rgba") for r in palettes.collect()}
+    assert [pal[1, p] for p in got[1]["data"]] == [tuple(c) for c in colours[flat].tolist()]
+    assert [got[i]["error"] for i in (1, 2, 3)] == [None, "width times height is not its size", "sides not allowed"]
+    assert (got[4]["error"] == "sides not allowed") == (method == "hextree") and got[2]["data"] is None
+    with pytest.raises(ValueError, match="colours"):
+        quantize.quantize(bitmaps, method, 7)

@@ -98,12 +98,63 @@ def test_dims(spark):
 def test_whole_texts_lose_nothing(spark, tmp_path):
     made = {0: "", 1: "ab", 2: "x" * 511, 3: "y" * 512, 4: "é日" * 300 + "end", 5: None}
     spark.createDataFrame(list(made.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    dims = {r["image_id"]: (r["width"], r["height"], r["valid"]) for r in queries.queries()["rle_validate_whole_dims"](spark, str(tmp_path)).collect()}
+    dims = {r["image_id"]: (r["width"], r["height"], r["valid"]) for r in queries.queries()["rle_validate_dims"](spark, str(tmp_path)).collect()}
     assert dims == {0: (64, 0, False), 1: (64, 1, False), 2: (64, 8, True), 3: (64, 8, True), 4: (64, 10, True), 5: (64, 0, False)}
-    source = rasters.whole_text_bitmap(spark, str(tmp_path))
+    source = rasters.text_bitmap(spark, str(tmp_path))
     seen = {}
-    for r in rle.decode(rle.encode(source)).collect():
+    for r in rle.decode(rle.encode(rasters.bitmap_to_pixels(source))).collect():
         seen.setdefault(r["image_id"], {})[r["y"] * 64 + r["x"]] = r["v"]
     want = {i: [ord(c) & 255 for c in t or ""] for i, t in made.items()}
     assert {i: [v for _, v in sorted(cells.items())] for i, cells in seen.items()} == {i: v + [0] * (max(512, -(-len(v) // 64) * 64) - len(v)) for i, v in want.items()}
-    assert queries.queries()["rle_encode_whole_text"](spark, str(tmp_path)).count() == len(made)
+    assert source.exceptAll(rle.decode_dense(rle.encode_dense(source, strict=False)).select(*source.columns)).isEmpty()
+    assert queries.queries()["rle_encode_text"](spark, str(tmp_path)).count() == len(made)
+
+
+STREAMS = "image_id long, data binary"
+
+
+def both(spark, streams):
+    df = spark.createDataFrame([(i, None if x is None else bytearray(x)) for i, x in enumerate(streams)], STREAMS)
+    made = [{r["image_id"]: (r["width"], r["height"], r["data"] and bytes(r["data"]), r["error"]) for r in rle.decode_dense(df, impl).collect()} for impl in rle.IMPLEMENTATIONS]
+    assert made[0] == made[1]
+    return list(made[0][i] for i in range(len(streams)))
+
+
+def test_runs_without_pixels_and_rows_before_the_first(spark):
+    nothing = bytes.fromhex("0101010080050202020000")
+    empty_first = bytes.fromhex("00000000" + "0008" + "0000")
+    assert both(spark, [nothing, empty_first, empty_first + bytes.fromhex("0000")]) == [(6, 1, bytes([1, 1, 1, 2, 2, 2]), None), (8, 1, bytes(8), None), (None, None, None, "rows differ in width")]
+    assert rle.scan(nothing)[0] == [(0, 0, 0, 3, 1), (0, 1, 3, 3, 2)] and rle.widths(empty_first) == [0, 0, 8]
+
+
+def test_broken_streams_in_both_ways(spark):
+    streams = {"00880100000089010000": "rows differ in width", "0008000000": "truncated", "0000": "no rows", "00": "too short", "": "too short", "0041": "truncated", "0083": "truncated", "00080000C1": None, "000800000041": "truncated"}
+    assert [e for *_, e in both(spark, [bytes.fromhex(x) for x in streams])] == list(streams.values())
+    assert both(spark, [None])[0][3] == "too short"
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.binary(min_size=0, max_size=14).map(lambda b: b.replace(b"\x07", b"\0\0")), min_size=1, max_size=20))
+def test_any_bytes_in_both_ways(spark, streams):
+    both(spark, streams)
+
+
+def test_both_ways_encode_alike(spark):
+    rng = __import__("random").Random(3)
+    images = [(8, 8, bytes(rng.choice([0, 0, 0, 7, 200]) for _ in range(64))), (40000, 1, bytes(40000)), (16384, 2, bytes([9]) * 32768), (300, 9, bytes([5]) * 2700), (8, 9, bytes(71)), (0, 8, b""), (8, 8, None), (None, 8, bytes(8))]
+    df = spark.createDataFrame([(i, w, h, None if d is None else bytearray(d)) for i, (w, h, d) in enumerate(images)], "image_id long, width int, height int, data binary")
+    for strict in (True, False):
+        made = [{r["image_id"]: (r["data"] and bytes(r["data"]), r["error"]) for r in rle.encode_dense(df, strict, impl).collect()} for impl in rle.IMPLEMENTATIONS]
+        assert made[0] == made[1]
+    assert [made[0][i][1] for i in range(8)] == [None, None, None, None, "width times height is not its size", "sides not allowed", "width times height is not its size", "sides not allowed"]
+    back = {r["image_id"]: (r["width"], r["height"], bytes(r["data"])) for r in rle.decode_dense(rle.encode_dense(df, False).filter("error IS NULL")).collect()}
+    assert back == {i: images[i] for i in range(4)}
+    long = pixels(spark, {0: [[3] * 20000]})
+    assert rle.decode(rle.encode(long)).count() == 20000
+    with pytest.raises(ValueError, match="implementations"):
+        rle.encode_dense(df, impl="c")
+
+
+def test_colours_beyond_a_byte_are_an_error(spark):
+    with pytest.raises(Exception, match="colours are from 0 to 255"):
+        rle.encode(pixels(spark, {0: [[300] * 8] * 8})).collect()
