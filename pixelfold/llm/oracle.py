@@ -74,19 +74,27 @@ def _chain() -> str:
     out = [
         f"value AS ({values})",
         f"half AS (SELECT *, sum(k) OVER (PARTITION BY {group}, i ORDER BY z) AS below, sum(k) OVER (PARTITION BY {group}, i) AS n FROM (SELECT {group}, i, z, count(*) AS k FROM value GROUP BY ALL))",
-        f"e0 AS (SELECT {group}, {mean}, {factor}, max(n) AS rows FROM half WHERE below * 2 >= n GROUP BY {group})",
+        f"medians AS (SELECT {group}, {mean}, {factor}, max(n) AS rows FROM half WHERE below * 2 >= n GROUP BY {group})",
     ]
     sums = rules.moment_sums()
+    kept = ", ".join([*rules.MEAN, *rules.FACTOR])
+    moments, shaped = ", ".join(f"{x} AS {n}" for n, x in sums.items()), ", ".join(f"{x} AS {n}" for n, x in rules.covariance().items())
+    out += [
+        f"halves AS (SELECT {group}, 2 + {rules.HALF} AS start, count(*) AS n, {moments} FROM passed GROUP BY ALL UNION ALL SELECT {group}, 1, count(*), {', '.join(sums.values())} FROM passed GROUP BY ALL)",
+        f"shapes AS (SELECT {group}, start, 0 AS rows, {shaped} FROM (SELECT * REPLACE ({', '.join(f'{n}::DOUBLE AS {n}' for n in sums)}) FROM halves))",
+        f"e0 AS (SELECT {group}, 0 AS start, {kept}, rows FROM medians UNION ALL SELECT {group}, start, {kept}, rows FROM {nested('shapes', rules.cholesky())})",
+    ]
+    each = f"{group}, start"
     for k in range(rules.STEPS):
-        kept = ", ".join([*rules.MEAN, *rules.FACTOR])
         out += [
             f"d{k} AS (SELECT *, least(floor(d2 / {rules.BIN}), {rules.LAST_BIN}) AS bin FROM {nested(f'(SELECT s.*, m.* EXCLUDE (g_lang, g_source, rows) FROM passed s JOIN e{k} m ON {same})', rules.distance())})",
-            f"n{k} AS (SELECT *, sum(k) OVER (PARTITION BY {group} ORDER BY bin) - k AS before, sum(k) OVER (PARTITION BY {group}) AS rows FROM (SELECT {group}, bin, count(*) AS k, {', '.join(f'{x} AS {n}' for n, x in sums.items())} FROM d{k} GROUP BY ALL))",
-            f"t{k} AS (SELECT {group}, sum(k) AS n, any_value(rows) AS rows, {', '.join(f'sum({n})::DOUBLE AS {n}' for n in sums)} FROM n{k} WHERE before < {rules.NEAREST} * rows GROUP BY {group})",
-            f"c{k} AS (SELECT {group}, rows, {', '.join(f'{x} AS {n}' for n, x in rules.covariance().items())} FROM t{k})",
-            f"e{k + 1} AS (SELECT {group}, {kept}, rows FROM {nested(f'c{k}', rules.cholesky())})",
+            f"n{k} AS (SELECT *, sum(k) OVER (PARTITION BY {each} ORDER BY bin) - k AS before, sum(k) OVER (PARTITION BY {each}) AS rows FROM (SELECT {each}, bin, count(*) AS k, {moments} FROM d{k} GROUP BY ALL))",
+            f"t{k} AS (SELECT {each}, sum(k) AS n, any_value(rows) AS rows, {', '.join(f'sum({n})::DOUBLE AS {n}' for n in sums)} FROM n{k} WHERE before < {rules.NEAREST} * rows GROUP BY {each})",
+            f"c{k} AS (SELECT {each}, rows, {shaped} FROM t{k})",
+            f"e{k + 1} AS (SELECT {each}, {kept}, rows FROM {nested(f'c{k}', rules.cholesky())})",
         ]
-    last = f"(SELECT s.*, m.* EXCLUDE (g_lang, g_source) FROM grouped s LEFT JOIN e{rules.STEPS} m ON {same})"
+    out.append(f"best AS (SELECT * EXCLUDE (start) FROM e{rules.STEPS} QUALIFY row_number() OVER (PARTITION BY {group} ORDER BY {rules.DETERMINANT}, start) = 1)")
+    last = f"(SELECT s.*, m.* EXCLUDE (g_lang, g_source) FROM grouped s LEFT JOIN best m ON {same})"
     out.append(f"judged AS (SELECT *, NOT base_failed AND NOT coalesce(rows >= {rules.FEW} AND d2 > {rules.CUTOFF}, false) AS kept FROM {nested(last, rules.distance())})")
     return ",\n".join(out)
 
