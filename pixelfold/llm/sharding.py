@@ -5,8 +5,8 @@ largest ``weight / -ln(u)``. A new shard draws its own numbers and leaves those
 they are, so that it takes rows only into itself, and takes its share by weight.
 
 Defined results: a null key is a key of its own (equal for all null keys); a null text has size 8
-and checksum 0; repeated rows get a slot each; an empty table gives no rows; other columns play no
-part.
+and checksum 0; a text of any length counts whole; repeated rows get a slot each; an empty table gives no
+rows; other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,8 +16,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Sub-buckets of a shard. Slots are counted in (shard, bucket) first, so no task holds a shard.
 BUCKETS = 1024
+#: Copies of a row that are numbered at a time.
+COPIES = 10_000
 #: Hexadecimal digits of a draw: 52 bits, exact in a double.
 DIGITS = 13
 
@@ -75,6 +79,7 @@ def shard(docs: DataFrame, weights: Sequence[float], key: str = "doc_id", text:
         .withColumn("_bucket", F.pmod(F.col("_h"), F.lit(BUCKETS)))
         .drop("_best", "_new", "_h")
     )
+    placed = stored(placed, "placed")  # digests and checksums are made once
     before = Window.rowsBetween(Window.unboundedPreceding, -1)
     # At most len(weights) * BUCKETS rows, whatever the input.
     starts = (
@@ -85,6 +90,7 @@ def shard(docs: DataFrame, weights: Sequence[float], key: str = "doc_id", text:
     return (
         placed.withColumn("_within", F.coalesce(F.sum("_n").over(within), F.lit(0)))
         .join(F.broadcast(starts), ["shard", "_bucket"])
-        .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_copy"))
+        .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(COPIES).cast("long"))).alias("_first"))
+        .select("*", F.explode(F.sequence(F.col("_first"), F.least(F.col("_first") + (COPIES - 1), F.col("_n") - 1))).alias("_copy"))
         .select(F.col("_key").alias(key), "size", "text_crc32", "shard", "grown_shard", (F.col("_start") + F.col("_within") + F.col("_copy")).alias("slot"))
     )
