@@ -16,8 +16,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
-
 #: Sub-buckets of a shard. Slots are counted in (shard, bucket) first, so no task holds a shard.
 BUCKETS = 1024
 #: Copies of a row that are numbered at a time.
@@ -65,27 +63,25 @@ def shard(docs: DataFrame, weights: Sequence[float], key: str = "doc_id", text:
         (F.coalesce(F.octet_length(body), F.lit(0)) + 8).cast("long").alias("size"),
         F.coalesce(F.crc32(body), F.lit(0)).cast("long").alias("text_crc32"),
     )
-    # Equal rows are counted before any shuffle needs them together.
-    counted = sized.groupBy("_key", "size", "text_crc32").agg(F.count(F.lit(1)).alias("_n"))
+    # Draws come before any shuffle, where rows are spread as they are read.
     placed = (
-        counted.withColumn("_best", shard_of(F.col("_key"), weights))
+        sized.withColumn("_best", shard_of(F.col("_key"), weights))
         .withColumn("_new", scores(F.col("_key"), [*weights, more])[-1])
         .select(
-            "*",
+            "_key", "size", "text_crc32",
             F.col("_best.shard").cast("int").alias("shard"),
             F.when(F.col("_new") > F.col("_best.score"), len(weights)).otherwise(F.col("_best.shard")).cast("int").alias("grown_shard"),
-            (number(digest(F.col("_key"), "slot"), 1, 7) + F.col("text_crc32")).alias("_h"),
+            F.pmod(number(digest(F.col("_key"), "slot"), 1, 7) + F.col("text_crc32"), F.lit(BUCKETS)).alias("_bucket"),
         )
-        .withColumn("_bucket", F.pmod(F.col("_h"), F.lit(BUCKETS)))
-        .drop("_best", "_new", "_h")
-    )
-    placed = stored(placed, "placed")  # digests and checksums are made once
+    )
     before = Window.rowsBetween(Window.unboundedPreceding, -1)
     # At most len(weights) * BUCKETS rows, whatever the input.
     starts = (
-        placed.groupBy("shard", "_bucket").agg(F.sum("_n").alias("_rows"))
+        placed.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
         .select("shard", "_bucket", F.coalesce(F.sum("_rows").over(before.partitionBy("shard").orderBy("_bucket")), F.lit(0)).alias("_start"))
     )
+    # Equal rows are counted before a shuffle needs them together.
+    placed = placed.groupBy(*placed.columns).agg(F.count(F.lit(1)).alias("_n"))
     within = before.partitionBy("shard", "_bucket").orderBy("_key", "size", "text_crc32")
     return (
         placed.withColumn("_within", F.coalesce(F.sum("_n").over(within), F.lit(0)))
