@@ -85,8 +85,12 @@ def whole_texts(spark: SparkSession, folder: str, width: int = 64) -> DataFrame:
 
 def text_bitmap(spark: SparkSession, folder: str, width: int = 64, least: int = 8) -> DataFrame:
     """Dense images of every document to its last character, ``width`` code points modulo 256 a row: the
-    last row, and texts under ``least`` rows, are filled up with 0."""
+    last row, and texts under ``least`` rows, are filled up with 0.
+
+    What is done with a character costs far more than moving it, so a table of few splits is dealt out."""
     d = whole_texts(spark, folder, width)
+    tasks = spark.sparkContext.defaultParallelism
+    d = d.repartition(tasks) if d.rdd.getNumPartitions() < tasks else d
     rows = F.greatest(F.col("rows"), F.lit(least))
     codes = F.transform(F.split("text", ""), lambda c: F.lpad(F.hex(F.ascii(c).bitwiseAND(255)), 2, "0"))
     line = F.when(F.col("n") > 0, F.array_join(codes, "")).otherwise("")
