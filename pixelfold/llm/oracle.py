@@ -68,13 +68,20 @@ def _chain() -> str:
             source = f"(SELECT *, {expression} AS {name} FROM {source})"
         return source
 
-    values = " UNION ALL ".join(f"SELECT g_lang, g_source, {i} AS i, {z} AS z FROM passed" for i, z in enumerate(rules.Z))
-    mean = ", ".join(f"min(z) FILTER (i = {i})::DOUBLE AS m{i}" for i in range(4))
-    factor = ", ".join(f"{rules.FLOORS[i] if i == j else 0.0}::DOUBLE AS l{i}{j}" for j in range(4) for i in range(j, 4))
+    def medians(name: str, source: str, of: dict[str, str]) -> list[str]:
+        values = " UNION ALL ".join(f"SELECT {group}, '{n}' AS i, {x} AS v FROM {source}" for n, x in of.items())
+        least = ", ".join(f"min(v) FILTER (i = '{n}') AS {n}" for n in of)
+        return [
+            f"{name}_k AS (SELECT *, sum(k) OVER (PARTITION BY {group}, i ORDER BY v) AS below, sum(k) OVER (PARTITION BY {group}, i) AS n FROM (SELECT {group}, i, v, count(*) AS k FROM ({values}) GROUP BY ALL))",
+            f"{name} AS (SELECT {group}, {least}, max(n) AS rows FROM {name}_k WHERE below * 2 >= n GROUP BY {group})",
+        ]
+
+    factor = ", ".join((f"greatest({rules.LEAST}::DOUBLE, {rules.SPREAD}::DOUBLE * mad_{rules.Z[i]})" if i == j else "0::DOUBLE") + f" AS l{i}{j}" for j in range(4) for i in range(j, 4))
     out = [
-        f"value AS ({values})",
-        f"half AS (SELECT *, sum(k) OVER (PARTITION BY {group}, i ORDER BY z) AS below, sum(k) OVER (PARTITION BY {group}, i) AS n FROM (SELECT {group}, i, z, count(*) AS k FROM value GROUP BY ALL))",
-        f"medians AS (SELECT {group}, {mean}, {factor}, max(n) AS rows FROM half WHERE below * 2 >= n GROUP BY {group})",
+        *medians("centres", "shares", {f"med_{t}": t for t in rules.T}),
+        f"passed AS (SELECT s.g_lang, s.g_source, {', '.join(f'{x} AS {z}' for z, x in rules.CENTRED.items())} FROM shares s JOIN centres m ON {same})",
+        *medians("spreads", "passed", {f"mad_{z}": f"abs({z})" for z in rules.Z}),
+        f"medians AS (SELECT {group}, {', '.join(f'0::DOUBLE AS {m}' for m in rules.MEAN)}, {factor}, rows FROM spreads)",
     ]
     sums = rules.moment_sums()
     kept = ", ".join([*rules.MEAN, *rules.FACTOR])
@@ -94,8 +101,9 @@ def _chain() -> str:
             f"e{k + 1} AS (SELECT {each}, {kept}, rows FROM {nested(f'c{k}', rules.cholesky())})",
         ]
     out.append(f"best AS (SELECT * EXCLUDE (start) FROM e{rules.STEPS} QUALIFY row_number() OVER (PARTITION BY {group} ORDER BY {rules.DETERMINANT}, start) = 1)")
-    last = f"(SELECT s.*, m.* EXCLUDE (g_lang, g_source) FROM grouped s LEFT JOIN best m ON {same})"
-    out.append(f"judged AS (SELECT *, NOT base_failed AND NOT coalesce(rows >= {rules.FEW} AND d2 > {rules.CUTOFF}, false) AS kept FROM {nested(last, rules.distance())})")
+    fitted = f"(SELECT m.*, {', '.join(f'med_{t}' for t in rules.T)} FROM best m JOIN centres s ON {same})"
+    last = f"(SELECT s.*, m.* EXCLUDE (g_lang, g_source) FROM grouped s LEFT JOIN {fitted} m ON {same})"
+    out.append(f"judged AS (SELECT *, NOT base_failed AND NOT coalesce(rows >= {rules.FEW} AND d2 > {rules.CUTOFF}, false) AS kept FROM {nested(last, [*rules.CENTRED.items(), *rules.distance()])})")
     return ",\n".join(out)
 
 
@@ -105,11 +113,12 @@ rep AS (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM (SELECT *, count(*) OVE
 cov AS (SELECT doc_id, count(DISTINCT j) AS n FROM rep GROUP BY 1),
 lines AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM w),
 counts AS (SELECT doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
-  len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words FROM lines LEFT JOIN cov USING (doc_id)),
+  len(l) - len(list_distinct(l)) AS n_dup_lines, len(list_filter(w, lambda x: length(x) <= {rules.SHORT})) AS n_short, len(list_filter(w, lambda x: regexp_matches(x, '{rules.MARK}'))) AS n_marked,
+  len(list_filter(w, lambda x: regexp_matches(x, '{rules.CAPITAL}'))) AS n_capital, len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_again, coalesce(cov.n, 0) AS n_repeat_words FROM lines LEFT JOIN cov USING (doc_id)),
 made AS (SELECT *, {", ".join(f"{x} AS {n}" for n, x in rules.STATISTICS.items())} FROM counts),
 sizes AS (SELECT *, count(*) FILTER (NOT base_failed) OVER (PARTITION BY lang, source) AS k FROM made),
 grouped AS (SELECT *, CASE WHEN k >= {rules.SMALL} THEN coalesce(lang, '') END AS g_lang, CASE WHEN k >= {rules.SMALL} THEN coalesce(source, '') END AS g_source FROM sizes),
-passed AS (SELECT g_lang, g_source, {", ".join(rules.Z)} FROM grouped WHERE NOT base_failed),
+shares AS (SELECT g_lang, g_source, n_words, {", ".join(rules.T)} FROM grouped WHERE NOT base_failed),
 {_chain()}
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, base_failed, kept FROM judged"""

@@ -1,15 +1,17 @@
 """Quality rules: counts with fixed limits, then robust multivariate outliers, in DataFrame functions.
 
-Base counts of a text and two limits give ``base_failed``. For the others, four transformed
-statistics are whole numbers, so their sums are exact and the same in any order. Within each group
-of language and source a minimum-covariance-determinant estimate is found from several starts: the
-medians, all rows, and two halves that the statistics' sums deal out. From each, concentration steps
-follow: rows fall into distance bins, the bins that make up the nearest three quarters give the next mean
-and covariance. Of the starts' last estimates the one with the smallest determinant counts. As most texts
-repeat nothing, so that covariances are singular, they are regularised: a fixed target is added to every
-one, before determinants are compared as well. A row further than the chi-square cutoff by Mahalanobis distance is
-rejected. Groups below ``SMALL`` rows are estimated together; nothing is rejected where even those
-are fewer than ``FEW``.
+Base counts of a text and two limits give ``base_failed``. For the others, four shares of the words count:
+short ones, ones with a mark that is no letter, ones with a capital, and ones equal to the word before. Each share
+is turned by the arc sine of its root, which makes the spread by chance depend on the number of words alone; its
+distance to the median of its group of language and source is then multiplied by the root of that number, which
+levels off at ``STYLE`` words, where how authors differ outweighs chance. These are whole numbers, so their sums are
+exact and the same in any order. Within each group a minimum-covariance-determinant estimate is found from several
+starts: the medians with the median deviations, all rows, and two halves that the statistics' sums deal out. From
+each, concentration steps follow: rows fall into distance bins, the bins that make up the nearest three quarters give
+the next mean and covariance. Of the starts' last estimates the one with the smallest determinant counts. A variance
+below ``LEAST`` squared, as a group of mere copies has, is raised to it. A row further than the chi-square cutoff by
+Mahalanobis distance is rejected. Groups below ``SMALL`` rows are estimated together; nothing is rejected where even
+those are fewer than ``FEW``.
 
 Defined results: a null or empty text has no words and fails; a text of any length is counted whole, in one
 row; null language and source are values of
@@ -32,18 +34,28 @@ SMALL, FEW = 30, 8
 NEAREST = 0.75
 STEPS = 3
 #: Starts: 0 the medians, 1 all rows, 2 and 3 the rows whose statistics' sum is even and odd.
-HALF = "(z1 + z2 + z3 + z4) % 2"
+HALF = "abs(z1 + z2 + z3 + z4) % 2"
 #: Of equal determinants the first start's counts.
 DETERMINANT = "(l00 * l11 * l22 * l33)"
 #: Distances are binned by this width up to the last bin.
 BIN, LAST_BIN = 0.25, 4000
-#: Standard deviations added to every covariance, in hundredths of a natural logarithm.
-FLOORS = (25.0, 40.0, 50.0, 50.0)
-#: Chi-square with four degrees of freedom: its 0.99999 quantile, and what makes the covariance of
-#: the nearest three quarters one of all: 0.75 / P(chi-square with six degrees <= 5.385).
-CUTOFF, CONSISTENT = 28.473, 1.4866
+#: Words from which on a longer text's shares are no more certain to be near its group's.
+STYLE = 400
+#: Least standard deviation: half of what chance alone gives the shares of a short text.
+LEAST = 250.0
+#: Chi-square with four degrees of freedom: beyond the first lies one in 10^9, so that the sound texts of
+#: a large corpus stay; the second makes the covariance of the nearest three quarters one of all:
+#: 0.75 / P(chi-square with six degrees <= 5.385).
+CUTOFF, CONSISTENT = 47.87, 1.4866
+#: Makes a median deviation a standard deviation.
+SPREAD = 1.4826
+T = ("t1", "t2", "t3", "t4")
 Z = ("z1", "z2", "z3", "z4")
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+#: Words of at most so many characters are short; marks and capitals as regular expressions of both engines.
+SHORT = 3
+MARK, CAPITAL = "[!-@\\[-`{-~]", "\\p{Lu}"
+SHARES = ("n_short", "n_marked", "n_capital", "n_again")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", *SHARES, "n_repeat_words")
 
 
 def at(array: Column, i: Column) -> Column:
@@ -76,13 +88,17 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     body = F.coalesce(F.col(f"_row.`{text}`"), F.lit(""))
     rows = docs.select(F.struct("*").alias("_row"))
     split = rows.select("_row", F.array_remove(F.split(body, SPACE), "").alias("_words"), F.filter(F.split(body, "\n"), lambda x: x.rlike("[^ \\t-\\r]")).alias("_lines"), body.alias("_text"))
+    of_words = (
+        lambda w: F.char_length(w) <= SHORT, lambda w: w.rlike(MARK), lambda w: w.rlike(CAPITAL),
+        lambda w, i: w == at(F.col("_words"), i - 1),
+    )
     wide = split.select(
         "_row",
         F.size("_words").cast("long").alias("n_words"),
         F.char_length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.regexp_count("_text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        *[F.size(F.filter("_words", having)).cast("long").alias(name) for name, having in zip(SHARES, of_words, strict=True)],
         F.when(F.size("_words") < 5, F.array().cast("array<bigint>"))
         .otherwise(F.transform(F.slice("_words", F.lit(1), F.size("_words") - 4), lambda w, i: F.xxhash64(w, *[at(F.col("_words"), i + k) for k in range(1, 5)])))
         .alias("_windows"),
@@ -96,11 +112,11 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
 #: The statistics and the base rule in terms of the counts, for Spark and other SQL engines alike.
 STATISTICS = {
     "base_failed": f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words",
-    "z1": "CAST(round(100 * ln(greatest(word_chars, 1) * 1e0 / greatest(n_words, 1))) AS BIGINT)",
-    "z2": "CAST(round(100 * ln(1 + 100 * (n_symbols * 1e0 / greatest(word_chars, 1)))) AS BIGINT)",
-    "z3": "CAST(round(100 * ln(1 + 10 * (n_repeat_words * 1e0 / greatest(n_words, 1)))) AS BIGINT)",
-    "z4": "CAST(round(100 * ln(1 + 10 * (n_dup_lines * 1e0 / greatest(n_lines, 1)))) AS BIGINT)",
-}
+} | {
+    t: f"CAST(round(1000 * asin(sqrt(({x} + 0.375e0) / (n_words + 0.75e0)))) AS BIGINT)" for t, x in zip(T, SHARES, strict=True)
+}
+#: The statistics that are estimated, in terms of the number of words and the group's medians.
+CENTRED = {z: f"CAST(round(sqrt(n_words * {STYLE}e0 / (n_words + {STYLE})) * ({t} - med_{t})) AS BIGINT)" for z, t in zip(Z, T, strict=True)}
 
 
 def moment_sums(n: str = "1") -> dict[str, str]:
@@ -110,12 +126,12 @@ def moment_sums(n: str = "1") -> dict[str, str]:
 
 
 def covariance() -> dict[str, str]:
-    """Mean and regularised covariance of the nearest rows, in terms of the sums and their number n."""
+    """Mean and covariance, no variance below the least, of the nearest rows, in terms of the sums and their number n."""
     out = {f"m{i}": f"(s{i} * 1e0 / n)" for i in range(4)}
     for i in range(4):
         for j in range(i + 1):
-            floor = f" + {FLOORS[i] ** 2}" if i == j else ""
-            out[f"c{i}{j}"] = f"({CONSISTENT} * (p{i}{j} * 1e0 / n - (s{i} * 1e0 / n) * (s{j} * 1e0 / n)){floor})"
+            one = f"{CONSISTENT} * (p{i}{j} * 1e0 / n - (s{i} * 1e0 / n) * (s{j} * 1e0 / n))"
+            out[f"c{i}{j}"] = f"greatest({one}, {LEAST**2})" if i == j else f"({one})"
     return out
 
 
@@ -150,21 +166,31 @@ def assigned(df: DataFrame, steps: list[tuple[str, str]]) -> DataFrame:
     return df
 
 
-def estimates(stats: DataFrame, small_side) -> DataFrame:
-    """Per group (g_lang, g_source): mean, factor of the covariance, and rows, from STEPS steps.
+GROUP = ["g_lang", "g_source"]
 
-    stats: rows with the group and z1 ... z4. small_side(df) may mark a table of groups for broadcast.
+
+def medians(stats: DataFrame, of: dict[str, str]) -> DataFrame:
+    """Per group and expression the smallest whole number that half of the rows do not exceed, and the rows."""
+    pairs = F.array(*[F.struct(F.lit(name).alias("i"), F.expr(x).alias("v")) for name, x in of.items()])
+    long = stats.select(*GROUP, F.inline(pairs)).groupBy(*GROUP, "i", "v").agg(F.count(F.lit(1)).alias("k"))
+    part = Window.partitionBy(*GROUP, "i")
+    half = long.withColumn("below", F.sum("k").over(part.orderBy("v"))).withColumn("n", F.sum("k").over(part)).filter(F.col("below") * 2 >= F.col("n"))
+    return half.groupBy(*GROUP).agg(*[F.min(F.when(F.col("i") == name, F.col("v"))).alias(name) for name in of], F.max("n").alias("rows"))
+
+
+def estimates(shares: DataFrame, small_side) -> DataFrame:
+    """Per group (g_lang, g_source): medians of t1 ... t4, mean and factor of the covariance of z1 ... z4,
+    and rows, from STEPS steps.
+
+    shares: rows with the group, n_words and t1 ... t4. small_side(df) may mark a table of groups for broadcast.
     """
-    group = ["g_lang", "g_source"]
-    # Medians: the smallest value that half of the rows do not exceed, of whole numbers.
-    long = stats.select(*group, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(z).alias("z")) for i, z in enumerate(Z)])).alias("v")).groupBy(*group, "v.i", "v.z").agg(F.count(F.lit(1)).alias("k"))
-    part = Window.partitionBy(*group, "i")
-    half = long.withColumn("below", F.sum("k").over(part.orderBy("z"))).withColumn("n", F.sum("k").over(part)).filter(F.col("below") * 2 >= F.col("n"))
-    now = half.groupBy(*group).agg(
-        *[F.min(F.when(F.col("i") == i, F.col("z"))).cast("double").alias(f"m{i}") for i in range(4)],
-        *[F.lit(FLOORS[i] if i == j else 0.0).alias(f"l{i}{j}") for j in range(4) for i in range(j, 4)],
-        F.max("n").alias("rows"),
-    )
+    group = GROUP
+    centres = stored(medians(shares, {f"med_{t}": t for t in T}).drop("rows"), "medians")
+    stats = joined(shares, small_side(centres), group).select(*group, *[F.expr(x).alias(z) for z, x in CENTRED.items()])
+    now = medians(stats, {f"mad_{z}": f"abs({z})" for z in Z}).select(
+        *group, "rows", *[F.lit(0.0).alias(m) for m in MEAN],
+        *[(F.greatest(F.lit(LEAST), F.lit(SPREAD) * F.col(f"mad_{Z[i]}")) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for j in range(4) for i in range(j, 4)],
+    )
     kept = [*group, "start", *MEAN, *FACTOR, "rows"]
 
     def shaped(sums: DataFrame) -> DataFrame:
@@ -185,7 +211,7 @@ def estimates(stats: DataFrame, small_side) -> DataFrame:
         now = shaped(near.groupBy(*group, "start").agg(F.sum("k").alias("n"), F.first("rows").alias("rows"), *[F.sum(x).alias(x) for x in sums]))
         now = stored(now, "starts")
     best = now.groupBy(*group).agg(F.min(F.struct(F.expr(DETERMINANT).alias("det"), "start", *MEAN, *FACTOR, "rows")).alias("b"))
-    return best.select(*group, *[F.col(f"b.{c}").alias(c) for c in (*MEAN, *FACTOR, "rows")])
+    return joined(best.select(*group, *[F.col(f"b.{c}").alias(c) for c in (*MEAN, *FACTOR, "rows")]), small_side(centres), group)
 
 
 def joined(left: DataFrame, right: DataFrame, group: list[str]) -> DataFrame:
@@ -219,7 +245,7 @@ class Fit:
 
     def judge(self, made: DataFrame) -> DataFrame:
         """Adds distance2 and kept."""
-        out = assigned(joined(self.grouped(made), self.small_side(self.estimates), ["g_lang", "g_source"]), distance())
+        out = assigned(joined(self.grouped(made), self.small_side(self.estimates), GROUP), [*CENTRED.items(), *distance()])
         far = F.coalesce((F.col("rows") >= FEW) & (F.col("d2") > CUTOFF), F.lit(False))
         return out.select(*made.columns, F.col("d2").alias("distance2"), (~F.col("base_failed") & ~far).alias("kept"))
 
