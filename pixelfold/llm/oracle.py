@@ -116,9 +116,11 @@ counts AS (SELECT doc_id, lang, source, len(w) AS n_words, length(array_to_strin
   len(l) - len(list_distinct(l)) AS n_dup_lines, len(list_filter(w, lambda x: length(x) <= {rules.SHORT})) AS n_short, len(list_filter(w, lambda x: regexp_matches(x, '{rules.MARK}'))) AS n_marked,
   len(list_filter(w, lambda x: regexp_matches(x, '{rules.CAPITAL}'))) AS n_capital, len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_again, coalesce(cov.n, 0) AS n_repeat_words FROM lines LEFT JOIN cov USING (doc_id)),
 made AS (SELECT *, {", ".join(f"{x} AS {n}" for n, x in rules.STATISTICS.items())} FROM counts),
-sizes AS (SELECT *, count(*) FILTER (NOT base_failed) OVER (PARTITION BY lang, source) AS k FROM made),
-grouped AS (SELECT *, CASE WHEN k >= {rules.SMALL} THEN coalesce(lang, '') END AS g_lang, CASE WHEN k >= {rules.SMALL} THEN coalesce(source, '') END AS g_source FROM sizes),
-shares AS (SELECT g_lang, g_source, n_words, {", ".join(rules.T)} FROM grouped WHERE NOT base_failed),
+vectors AS (SELECT DISTINCT lang, source, n_words, word_chars, {", ".join(rules.T)} FROM made WHERE NOT base_failed),
+sizes AS (SELECT *, CASE WHEN k >= {rules.SMALL} THEN coalesce(lang, '') END AS g_lang, CASE WHEN k >= {rules.SMALL} THEN coalesce(source, '') END AS g_source
+  FROM (SELECT lang, source, count(*) AS k FROM vectors GROUP BY ALL)),
+grouped AS (SELECT m.*, g_lang, g_source FROM made m LEFT JOIN sizes s ON m.lang IS NOT DISTINCT FROM s.lang AND m.source IS NOT DISTINCT FROM s.source),
+shares AS (SELECT g_lang, g_source, n_words, {", ".join(rules.T)} FROM vectors m JOIN sizes s ON m.lang IS NOT DISTINCT FROM s.lang AND m.source IS NOT DISTINCT FROM s.source),
 {_chain()}
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, base_failed, kept FROM judged"""

@@ -8,10 +8,10 @@ levels off at ``STYLE`` words, where how authors differ outweighs chance. These
 exact and the same in any order. Within each group a minimum-covariance-determinant estimate is found from several
 starts: the medians with the median deviations, all rows, and two halves that the statistics' sums deal out. From
 each, concentration steps follow: rows fall into distance bins, the bins that make up the nearest three quarters give
-the next mean and covariance. Of the starts' last estimates the one with the smallest determinant counts. A variance
-below ``LEAST`` squared, as a group of mere copies has, is raised to it. A row further than the chi-square cutoff by
-Mahalanobis distance is rejected. Groups below ``SMALL`` rows are estimated together; nothing is rejected where even
-those are fewer than ``FEW``.
+the next mean and covariance. Of the starts' last estimates the one with the smallest determinant counts. Texts that
+agree in all shares, words and characters, as copies do, count once. A variance below ``LEAST`` squared is raised to
+it. A row further than the chi-square cutoff by Mahalanobis distance is rejected. Groups below ``SMALL`` rows are
+estimated together; nothing is rejected where even those are fewer than ``FEW``.
 
 Defined results: a null or empty text has no words and fails; a text of any length is counted whole, in one
 row; null language and source are values of
@@ -231,7 +231,8 @@ class Fit:
     once per step). Tables of more than ``broadcast_groups`` groups are joined by a shuffle."""
 
     def __init__(self, made: DataFrame, broadcast_groups: int = 20_000):
-        passed = made.filter(~F.col("base_failed"))
+        shapes = ("lang", "source", "n_words", "word_chars", *T)
+        passed = stored(made.filter(~F.col("base_failed")).select(*shapes).distinct(), "shapes")
         self.sizes = stored(passed.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("_n")), "group-sizes")
         self.small_side = F.broadcast if self.sizes.count() <= broadcast_groups else lambda df: df
         self.estimates = stored(estimates(self.grouped(passed), self.small_side), "group-estimates")

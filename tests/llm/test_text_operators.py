@@ -48,6 +48,38 @@ def test_outliers_by_group(spark):
     assert odd == {i for i in range(400) if i % 20 == 0} - {r["doc_id"] for r in got if r["base_failed"]}
 
 
+def styled(rng, n, marked, twice=False):
+    """Invented words of which a share ends in a mark; each of them twice in a row if wanted."""
+    words = ["".join(rng.choice(list("abcdefghij"), int(rng.integers(1, 9)))) + ("," if rng.random() < marked else "") for _ in range(n)]
+    return " ".join(f"{w} {w}" if twice else w for w in words)
+
+
+def test_shares_of_words(spark):
+    import unicodedata
+
+    rng = np.random.default_rng(4)
+    texts = [styled(rng, 50, 0.2, True), "Élan ÉLAN élan 日本語 Ünder_score a-b [x] ^ ` {y} ~ @ 9 aaa aaaa aaaa\naaaa", "x" * 50_000, "", None]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: tuple(r[c] for c in quality_rules.SHARES) for r in quality_rules.verdicts(df).collect()}
+    for i, t in enumerate(texts):
+        w = (t or "").split()
+        assert got[i] == (
+            sum(len(x) <= 3 for x in w), sum(any("!" <= c <= "~" and not c.isalpha() for c in x) for x in w),
+            sum(any(unicodedata.category(c) == "Lu" for c in x) for x in w), sum(x == y for x, y in zip(w, w[1:])),
+        )
+
+
+def test_own_estimate_of_each_group_decides(spark):
+    """What is common in one source is odd in another; a source of copies rejects no other sound text."""
+    rng = np.random.default_rng(3)
+    rows = [(i, styled(rng, int(rng.integers(20, 400)), 0.1 if i % 2 else 0.7), "en", "prose" if i % 2 else "code") for i in range(300)]
+    rows += [(1000, styled(rng, 200, 0.7), "en", "prose"), (1001, styled(rng, 200, 0.1), "en", "code"), (1002, styled(rng, 100, 0.1, True), "en", "prose")]
+    copy = styled(rng, 150, 0.1)
+    rows += [(2000 + i, copy if i < 160 else styled(rng, 150, 0.1), "en", "copies") for i in range(200)]
+    got = quality_rules.verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert not any(r["base_failed"] for r in got) and {r["doc_id"] for r in got if not r["kept"]} == {1000, 1001, 1002}
+
+
 def brute_phrases(t):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", folded(t))
     found = [(i, label) for phrase, label in licenses.BASE.items() for n in [phrase.split()] for i in range(len(w) - len(n) + 1) if w[i : i + len(n)] == n]
