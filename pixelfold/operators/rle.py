@@ -8,9 +8,9 @@ Runs stay within a row. A run of L pixels of colour c is written, with hexadecim
 
 where h ll is L in 14 bits; a longer run is written as several. Colours outside 0 to 255 are an error.
 
-Two implementations give the same bytes: ``native``, of DataFrame functions on hexadecimal digits, a row
-an image and without a shuffle, and ``arrow``, a scan in Python over Arrow batches. Long form (a row a
-pixel) goes through windows. With ``strict`` an image whose sides the format forbids has no data but an
+Two implementations give the same bytes: ``native``, of DataFrame functions, a row an image and without
+a shuffle, and ``arrow``, a scan in Python over Arrow batches. Long form (a row a pixel) goes through
+windows. With ``strict`` an image whose sides the format forbids has no data but an
 error; without it every width and height of one pixel or more is coded.
 """
 
@@ -219,9 +219,18 @@ def problem(width: Column, height: Column, size: Column, strict: bool) -> Column
 
 
 def encode_row(line: Column) -> Column:
-    """The code, with its end, of a row of hexadecimal digits, two a pixel."""
-    runs_of = F.regexp_extract_all(line, F.lit("(..)\\1*"), F.lit(0))
-    return F.concat(F.array_join(F.transform(runs_of, lambda r: code((F.length(r) / 2).cast("int"), F.conv(F.substring(r, 1, 2), 16, 10).cast("int"))), ""), F.lit("0000"))
+    """The code, with its end and in hexadecimal, of a row as a string of Latin-1, a character a pixel.
+
+    Colours in runs under 3 are their own code, so only rows with 0 or a longer run are taken apart.
+    """
+    digits = F.hex(F.encode(line, "ISO-8859-1"))
+
+    def coded(r: Column) -> Column:
+        itself = (F.length(r) <= 4) & ~r.startswith("00")
+        return F.when(itself, r).otherwise(code((F.length(r) / 2).cast("int"), F.conv(F.substring(r, 1, 2), 16, 10).cast("int")))
+
+    apart = F.array_join(F.transform(F.regexp_extract_all(digits, F.lit("(..)\\1*"), F.lit(0)), coded), "")
+    return F.concat(F.when(line.rlike(r"(?s)\x00|(.)\1\1"), apart).otherwise(digits), F.lit("0000"))
 
 
 def encode_bytes(data: bytes, width: int) -> bytes:
@@ -249,9 +258,9 @@ def encode_dense(bitmaps: DataFrame, strict: bool = True, impl: str = "native")
     why = problem(F.col("width"), F.col("height"), F.octet_length("data"), strict)
     found = bitmaps.select("image_id", "width", "height", "data", why.alias("error"))
     if impl == "native":
-        rows = found.withColumn("hexed", F.when(F.col("error").isNull(), F.hex("data")))
-        lines = F.transform(F.sequence(F.lit(0), F.col("height") - 1), lambda y: encode_row(F.substring("hexed", y * F.col("width") * 2 + 1, F.col("width") * 2)))
-        return rows.select("image_id", "width", "height", F.when(F.col("error").isNull(), F.unhex(F.array_join(lines, ""))).alias("data"), "error")
+        # All rows are cut in one pass, as each look at a binary column copies it and a place in a string is found from its start.
+        rows = F.regexp_extract_all(F.decode("data", "ISO-8859-1"), F.concat(F.lit("(?s).{1,"), F.col("width"), F.lit("}")), F.lit(0))
+        return found.select("image_id", "width", "height", F.when(F.col("error").isNull(), F.unhex(F.array_join(F.transform(rows, encode_row), ""))).alias("data"), "error")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

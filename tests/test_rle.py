@@ -1,5 +1,7 @@
 """Golden codes, round trips and broken streams."""
 
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -110,6 +112,19 @@ def test_whole_texts_lose_nothing(spark, tmp_path):
     assert queries.queries()["rle_encode_text"](spark, str(tmp_path)).count() == len(made)
 
 
+def test_a_long_text_costs_no_more_a_character_than_short_ones(spark, tmp_path):
+    """Its rows were found by a walk from its start: minutes for this one."""
+    rng = __import__("random").Random(5)
+    made = ["".join(rng.choices("ab c\0\xff\u0100\u65e5\U0001f600", [9, 9, 9, 3, 1, 1, 1, 1, 1], k=k)) for k in (2_000_000, 777, 64)]
+    made += ["".join(rng.choices("abc\xe9   ", k=1000)), "a\n\n\nb", "\r\r\u2028\u2028\u2028\x85\x85\x85"]
+    spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    began = time.monotonic()
+    got = {r["image_id"]: bytes(r["data"]) for r in rle.encode_dense(rasters.text_bitmap(spark, str(tmp_path)), strict=False).collect()}
+    assert time.monotonic() - began < 40
+    pixels_of = [bytes(ord(c) & 255 for c in t) for t in made]
+    assert got == {i: rle.encode_bytes(p.ljust(max(512, -(-len(p) // 64) * 64), b"\0"), 64) for i, p in enumerate(pixels_of)}
+
+
 STREAMS = "image_id long, data binary"
 
 
