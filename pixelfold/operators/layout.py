@@ -43,15 +43,40 @@ def mask_pixels(masks: DataFrame) -> DataFrame:
     return cells.filter(on).select("layout_id", "seq", (F.col("yp") + F.expr("i div w")).cast("int").alias("y"), (F.col("xp") + F.col("i") % F.col("w")).alias("x"))
 
 
+#: Pixels of a row that one word of ``mask_words`` holds, the first in its highest bit.
+WORD = 32
+
+
+def mask_words(masks: DataFrame) -> DataFrame:
+    """(layout_id, seq, y, word, bits): the set pixels as bits, a row for each line of a mask and each WORD
+    columns that it meets. Brought together by layout before anything is kept by pixel or word, so that
+    what a task holds does not grow with the masks that it reads."""
+    m = masks.select("layout_id", "seq", "xp", "yp", "w", "data", F.explode(F.when((F.col("w") > 0) & (F.col("h") > 0), F.sequence(F.lit(0), F.col("h") - 1))).alias("j"))
+    line = F.decode(F.substring("data", F.col("j") * F.col("w") + 1, F.col("w")), "ISO-8859-1")
+    # As in mask_pixels, cells that the data lacks are set.
+    line = F.rpad(F.regexp_replace(F.regexp_replace(line, r"[^\x00]", "1"), r"\x00", "0"), F.col("w"), F.lit("1"))
+    line = F.concat(F.repeat(F.lit("0"), F.pmod("xp", F.lit(WORD))), line)
+    m = m.select("layout_id", "seq", (F.col("yp") + F.col("j")).cast("int").alias("y"), F.floor(F.col("xp") / WORD).cast("int").alias("first"), line.alias("line"))
+    parts = F.regexp_extract_all("line", F.lit(f".{{1,{WORD}}}"), F.lit(0))
+    m = m.select("layout_id", "seq", "y", "first", F.posexplode(parts).alias("k", "part"))
+    bits = F.conv(F.rpad("part", F.lit(WORD), F.lit("0")), 2, 10).cast("long")
+    m = m.select("layout_id", "seq", "y", (F.col("first") + F.col("k")).alias("word"), bits.alias("bits"))
+    return m.filter(F.col("bits") != 0).repartition("layout_id")
+
+
 def screen(masks: DataFrame) -> DataFrame:
     """(layout_id, y, x) of all pixels set by any mask."""
-    return mask_pixels(masks).select("layout_id", "y", "x").distinct()
+    words = mask_words(masks).groupBy("layout_id", "y", "word").agg(F.bit_or("bits").alias("bits"))
+    cells = words.select("layout_id", "y", "word", "bits", F.explode(F.sequence(F.lit(0), F.lit(WORD - 1))).alias("i"))
+    return cells.filter(F.expr(f"getbit(bits, {WORD - 1} - i) = 1")).select("layout_id", "y", (F.col("word") * WORD + F.col("i")).alias("x"))
 
 
 def changed(masks: DataFrame) -> DataFrame:
     """(layout_id, seq, changed): whether a mask set a pixel that no earlier one had."""
-    seen = mask_pixels(masks)
-    first = seen.groupBy("layout_id", "y", "x").agg(F.min("seq").alias("seq")).select("layout_id", "seq").distinct().withColumn("new", F.lit(True))
+    before = Window.partitionBy("layout_id", "y", "word").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.coalesce(F.bit_or("bits").over(before), F.lit(0))
+    new = mask_words(masks).select("layout_id", "seq", F.col("bits").bitwiseAND(F.bitwise_not(seen)).alias("new")).filter(F.col("new") != 0)
+    first = new.select("layout_id", "seq").distinct().withColumn("new", F.lit(True))
     return masks.select("layout_id", "seq").join(first, ["layout_id", "seq"], "left").select("layout_id", "seq", F.coalesce("new", F.lit(False)).alias("changed"))
 
 

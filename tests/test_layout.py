@@ -1,5 +1,7 @@
 """Golden layouts, and the stream against the batch."""
 
+import re
+
 import numpy as np
 import pytest
 
@@ -112,3 +114,26 @@ def test_cells_of_a_mask_that_are_zero_set_nothing(spark):
     holes = bytearray([0, 1, 0, 0, 0, 2, 0, 0, 0])
     m = spark.createDataFrame([(0, 0, 10, 20, 3, 3, holes)], SCHEMA)
     assert sorted((r["y"], r["x"]) for r in layout.screen(m).collect()) == [(20, 11), (21, 12)]
+
+
+def test_pixels_are_kept_as_words_behind_the_exchange_by_layout(spark):
+    """Else a task that reads many masks holds a row for each pixel that they set."""
+    rng = np.random.default_rng(7)
+    rows = [(i % 3, k, int(rng.integers(-40, 60)), int(rng.integers(0, 50)), int(rng.integers(1, 75)), int(rng.integers(1, 6))) for i in range(3) for k in range(40)]
+    rows = [(*r, None if r[1] == 5 else bytearray((rng.random(r[4] * r[5] - (r[1] == 6)) < 0.2).astype(np.uint8) * int(rng.integers(1, 256)))) for r in rows]
+    m = spark.createDataFrame([*rows, (0, 99, 3, 3, 0, 2, bytearray()), (3, 0, 2, 2, 2, 2, bytearray(4))], SCHEMA)
+    pixels = layout.mask_pixels(m.filter("w > 0")).collect()
+    seen, new = set(), set()
+    for r in sorted(pixels, key=lambda r: r["seq"]):
+        if (at := (r["layout_id"], r["y"], r["x"])) not in seen:
+            new.add((r["layout_id"], r["seq"]))
+        seen.add(at)
+    got = layout.changed(m).collect()
+    assert len(got) == m.count() and {(r["layout_id"], r["seq"]) for r in got if r["changed"]} == new
+    cells = [tuple(r) for r in layout.screen(m).select("layout_id", "y", "x").collect()]
+    assert len(cells) == len(seen) and set(cells) == seen
+    assert layout.mask_words(m).count() * 4 < sum(r[4] * r[5] for r in rows)
+    for df in (layout.changed(m), layout.screen(m)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        leaf = re.split(r"Exchange hashpartitioning\(layout_id", plan)[-1]
+        assert "Aggregate" not in leaf and "getbit" not in leaf
